@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewatch.llm import bpe, chat, html_text, langid, mixing, token_counts
+from basewatch.llm import bpe, chat, exact_dedup, html_text, langid, mixing, pii, quality, token_counts
 from basewatch.llm.common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -24,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "n_copies", "taken")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(spark, f"{sf_dir}/documents.parquet").drop("locator")
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -43,9 +51,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_token_counts, op4_mixing, op6_html_text, op7_bpe, op8_chat, op9_language)}
+    return {f.__name__: f for f in (op1_quality, op3_token_counts, op4_mixing, op5_exact_dedup, op6_html_text, op7_bpe, op8_chat, op9_language, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
