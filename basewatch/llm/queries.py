@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewatch.llm import bpe, chat, exact_dedup, html_text, langid, mixing, pii, quality, token_counts
+from basewatch.llm import bpe, chat, exact_dedup, html_text, langid, mixing, near_dedup, pii, quality, token_counts
 from basewatch.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -56,8 +60,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op3_token_counts, op4_mixing, op5_exact_dedup, op6_html_text, op7_bpe, op8_chat, op9_language, op10_pii)}
+    return {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_token_counts, op4_mixing, op5_exact_dedup, op6_html_text, op7_bpe, op8_chat, op9_language, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+
+
+def pipeline() -> dict:
+    """The corpus pipeline at the repository's top: its run() and its SQL."""
+    import corpus_pipeline
+
+    return {"run": corpus_pipeline.run, "sql": corpus_pipeline.ORACLE_SQL}
