@@ -65,10 +65,3 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
-
-
-def pipeline() -> dict:
-    """The corpus pipeline at the repository's top: its run() and its SQL."""
-    import corpus_pipeline
-
-    return {"run": corpus_pipeline.run, "sql": corpus_pipeline.ORACLE_SQL}
