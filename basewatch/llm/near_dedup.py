@@ -8,9 +8,11 @@ of the 56 bands with a chance over 0.99998, two of 0.33 with one under 0.08.
 Documents with equal sets are one node. In a bucket every node is held, on full sets, against one
 centre; the links make components. Buckets whose nodes then lie in several components are gone
 through again with another centre, and the nodes that still lie apart are held against each other
-- but only across components, never tested pairs, and never sets whose sizes alone rule a link
-out. So a large group of near copies costs rows in proportion to its size, and no link between
-nodes of a bucket is lost.
+- but only across components, never tested pairs, and never sets that their sizes or sketches rule
+out. A sketch is four bits of each of the 336 signature values; sets of similarity 0.75 differ in 79
+values with a deviation of 8, and a pair is ruled out beyond 125, six deviations off. So a large
+group of near copies costs rows in proportion to its size, and no link in a bucket is lost but
+with a chance of one in a thousand million.
 
 Links are exact: intersection and union of the full sets (of 64-bit shingle hashes). Components
 are found by passing on smallest labels with jumps, each round written to the shared folder.
@@ -32,8 +34,10 @@ from basewatch.llm.common import cut, packed, unpacked
 SHINGLE, PERMUTATIONS, ROWS, BANDS, SEED = 5, 168, 6, 56, 20_240
 #: A link: LINK[1] * intersection >= LINK[0] * union.
 LINK = (75, 100)
+SKETCH_APART = 125
+_SKETCH = [f"k{i}" for i in range(2 * PERMUTATIONS * 4 // 64)]
 _P = np.uint64(0x9E3779B97F4A7C15)
-MAX_WORDS = 1_000_000
+MAX_WORDS, SETS_HELD = 1_000_000, 8_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,8 +88,15 @@ class Signer:
             np.maximum(high, h.max(axis=0), out=high)
         return np.stack([low, high], axis=1).ravel()
 
-    def bands(self, s: np.ndarray) -> np.ndarray:
-        v = self.signature(s).reshape(BANDS, ROWS)
+    @staticmethod
+    def sketch(signature: np.ndarray) -> np.ndarray:
+        """Four well-mixed bits of each value, sixteen values to a word."""
+        four = ((_mix(signature * _P) >> np.uint64(17)) & np.uint64(15)).reshape(-1, 16)
+        return np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+    @staticmethod
+    def bands(signature: np.ndarray) -> np.ndarray:
+        v = signature.reshape(BANDS, ROWS)
         out = np.arange(BANDS, dtype=np.uint64)
         for i in range(ROWS):
             out = _mix(out * _P + v[:, i])
@@ -93,7 +104,7 @@ class Signer:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs -> doc_id, n_shingles, set_key (digest of the set, null if empty), bands."""
+    """docs -> doc_id, n_shingles, set_key (digest of the set, null if empty), bands, sketch."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
@@ -101,15 +112,18 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         shingler, signer = Shingler(), Signer()
         for b in batches:
-            n, keys, bands = [], [], []
+            n, keys, bands, sketches = [], [], [], []
             for t in b.column("text"):
                 s = shingler.set_of(t.as_py())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                bands.append(signer.bands(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                v = signer.signature(s)
+                bands.append(signer.bands(v) if len(s) else [])
+                sketches.append(signer.sketch(v))
+            words = np.array(sketches, np.int64).reshape(len(n), len(_SKETCH))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, i]) for i in range(len(_SKETCH))]], ["doc_id", "n_shingles", "set_key", "bands", *_SKETCH])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>, " + ", ".join(f"{k} long" for k in _SKETCH))
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -118,15 +132,27 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        shingler, last, of_last = Shingler(), None, None
+        shingler, sets, held = Shingler(), {}, 0
+
+        def get(node: int, column, i: int) -> np.ndarray:
+            nonlocal sets, held
+            s = sets.get(node)
+            if s is None:
+                s = shingler.set_of(column[i].as_py())
+                if held > SETS_HELD:
+                    sets, held = {}, 0
+                sets[node], held = s, held + len(s) + 16
+            return s
+
         for batch in batches:
             a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            text_a, text_b = batch.column("text_a"), batch.column("text_b")
             for i in range(len(a)):
-                if b[i] != last:  # the join leaves equal b side by side
-                    last, of_last = b[i], shingler.set_of(batch.column("text_b")[i].as_py())
-                x = shingler.set_of(batch.column("text_a")[i].as_py())
-                both = len(np.intersect1d(x, of_last, assume_unique=True))
-                keep.append(LINK[1] * both >= LINK[0] * (len(x) + len(of_last) - both))
+                x, y = get(a[i], text_a, i), get(b[i], text_b, i)
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(LINK[1] * both >= LINK[0] * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -151,8 +177,19 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         now = after.select("node", "label")
 
 
-def _sizes_allow(a: str, b: str):
-    return (LINK[1] * F.least(a, b)) >= (LINK[0] * F.greatest(a, b))
+def _allowed(x: str, y: str):
+    """Whether sizes and sketches of two rows leave a link possible."""
+    a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+
+    def differ(k: str):
+        """Values of a word that differ: those with any of their four bits set in the xor."""
+        w = F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))
+        w = w.bitwiseOR(F.shiftrightunsigned(w, 1))
+        w = w.bitwiseOR(F.shiftrightunsigned(w, 2))
+        return F.bit_count(w.bitwiseAND(F.lit(0x1111111111111111)))
+
+    apart = sum((differ(k) for k in _SKETCH), F.lit(0))
+    return ((LINK[1] * F.least(a, b)) >= (LINK[0] * F.greatest(a, b))) & (apart <= SKETCH_APART)
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -160,20 +197,21 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     rows = cut(signed(docs, id_col, text_col), "signed")
     full = rows.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
     node_of = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    members = full.join(node_of, "set_key").select("doc_id", "node", "n_shingles", "bands")
+    members = full.join(node_of, "set_key")
     nodes = members.filter("doc_id = node").dropDuplicates(["node"])
-    in_bands = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    in_bands = nodes.select("node", F.explode("bands").alias("band"))
     buckets = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     # only buckets of several nodes: everything below works on these few rows
     shared = cut(in_bands.join(buckets.select("band", "centre"), "band"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
     texts = cut(texts.join(shared.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
-    sizes = shared.select(F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre")).distinct()
+    marks = cut(nodes.join(shared.select("node").distinct(), "node").select("node", "n_shingles", *_SKETCH), "sketches")
 
     def stars(rows: DataFrame) -> DataFrame:
-        """rows(node, centre, n_shingles) -> pairs of different nodes that their sizes let be similar."""
-        p = rows.filter("node != centre").select("node", "n_shingles", "centre").distinct().join(sizes, "centre")
-        return p.filter(_sizes_allow("n_shingles", "n_centre")).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+        """rows(node, centre) -> pairs of different nodes that may be similar."""
+        p = rows.filter("node != centre").select("node", "centre").distinct().join(marks, "node").alias("x")
+        p = p.join(marks.withColumnRenamed("node", "other_node").alias("y"), (F.col("x.centre") == F.col("y.other_node")) & _allowed("x", "y"))
+        return p.select(F.greatest("x.node", "x.centre").alias("a"), F.least("x.node", "x.centre").alias("b")).distinct()
 
     tested = cut(stars(shared), "pairs")
     links = cut(linked(tested, texts), "links")
@@ -181,14 +219,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     for last in (False, True):
         named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         apart = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", "label").alias("other")).filter("low != high")
-        left = cut(named.join(apart, "band").select("band", "node", "n_shingles", "label", "other"), "apart")
+        left = named.join(apart, "band").select("band", "node", "label", "other")
+        left = cut(left.join(marks, "node") if last else left, "apart")
         if last:
             x, y = left.alias("x"), left.alias("y")
-            across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _sizes_allow("x.n_shingles", "y.n_shingles"))
+            across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _allowed("x", "y"))
             new = across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         else:
             of_other = left.filter("node = other").select("band", F.col("label").alias("other_label"))
-            new = stars(left.join(of_other, "band").filter("label != other_label").select("node", "n_shingles", F.col("other").alias("centre")))
+            new = stars(left.join(of_other, "band").filter("label != other_label").select("node", F.col("other").alias("centre")))
         new = cut(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = cut(linked(new, texts), "links")
         if more.limit(1).count():
