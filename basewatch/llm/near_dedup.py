@@ -7,9 +7,11 @@ of the 56 bands with a chance over 0.99998, two of 0.33 with one under 0.08.
 
 Documents with equal sets are one node. In a bucket every node is held, on full sets, against one
 centre; the links make components. Buckets whose nodes then lie in several components are gone
-through again with another centre, and the nodes that still lie apart are held against each other
-- but only across components, never tested pairs, and never sets that their sizes or sketches rule
-out. A sketch is four bits of each of the 336 signature values; sets of similarity 0.75 differ in 79
+through again with another centre. The nodes of buckets that still hold several components are
+joined exactly: two sets are similar only if they share one of the rarest quarter (and one more) of
+either's shingles, rare among these nodes, so a passage that a third of them share makes no pairs of
+documents that say more than it. Pairs within a component, tested ones, and those that sizes or
+sketches rule out, aren't tested. A sketch is four bits of each of the 336 signature values; sets of similarity 0.75 differ in 79
 values with a deviation of 8, and a pair is ruled out beyond 125, six deviations off. So a large
 group of near copies costs rows in proportion to its size, and no link in a bucket is lost but
 with a chance of one in a thousand million.
@@ -192,6 +194,30 @@ def _allowed(x: str, y: str):
     return ((LINK[1] * F.least(a, b)) >= (LINK[0] * F.greatest(a, b))) & (apart <= SKETCH_APART)
 
 
+def rare_shingles(contested: DataFrame, texts: DataFrame) -> DataFrame:
+    """contested(node, n_shingles, ...), texts(node, text) -> node, n_shared, shingle: those of the rarest quarter and one more that another node has too, and how many in all another has.
+
+    A set shares at least three quarters of itself with any similar one, so one of any other
+    quarter and one more; counted from the rarest on, with the hash to break ties, alike for all.
+    """
+
+    def run(batches):
+        shingler = Shingler()
+        for b in batches:
+            for node, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
+                s = shingler.set_of(t.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s)], ["node", "shingle"])
+
+    every = cut(texts.join(contested.select("node"), "node").select("node", "text").mapInArrow(run, "node long, shingle long"), "shingles")
+    shared = every.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    own = every.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    own = own.join(contested.select("node", "n_shingles"), "node")
+    quarter = F.col("n_shingles") - F.ceil(F.col("n_shingles") * LINK[0] / LINK[1]) + 1
+    room = F.greatest(quarter - (F.col("n_shingles") - F.size("own")), F.lit(0)).cast("int")  # after those that no other node has
+    own = own.withColumn("n_shared", F.size("own")).filter(LINK[1] * F.col("n_shared") >= LINK[0] * F.col("n_shingles"))
+    return own.select("node", "n_shared", F.explode(F.slice("own", F.lit(1), room)).alias("s")).select("node", "n_shared", "s.shingle")
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, kept."""
     rows = cut(signed(docs, id_col, text_col), "signed")
@@ -219,11 +245,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     for last in (False, True):
         named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         apart = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", "label").alias("other")).filter("low != high")
-        left = named.join(apart, "band").select("band", "node", "label", "other")
-        left = cut(left.join(marks, "node") if last else left, "apart")
+        left = cut(named.join(apart, "band").select("band", "node", "label", "other"), "apart")
         if last:
-            x, y = left.alias("x"), left.alias("y")
-            across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _allowed("x", "y"))
+            contested = cut(left.select("node", "label").distinct().join(marks, "node"), "contested")
+            rare = cut(rare_shingles(contested, texts).join(contested, "node"), "rare")
+            x, y = rare.alias("x"), rare.alias("y")
+            # no two sets have more in common than what either shares with any other
+            enough = sum(LINK) * F.least("x.n_shared", "y.n_shared") >= LINK[0] * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+            across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & enough & _allowed("x", "y"))
             new = across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         else:
             of_other = left.filter("node = other").select("band", F.col("label").alias("other_label"))
