@@ -1,17 +1,19 @@
-"""All registered queries, and the SQL that they equal."""
+"""All registered queries of the price-structure engine, and the SQL that they equal."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basewatch.plans import events, price
+
 
 def queries():
-    return {}
+    return price.QUERIES | events.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return price.SQL | events.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(5)
+    return price.flagship(spark, sf_dir)
