@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from basewatch.llm.common import SPACE, cut, packed, scratch, unpacked
 
 PART = 512
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state's store. Many small stores: no space set aside beforehand, and changes instead of whole files to the shared folder.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -60,14 +64,16 @@ def digest_state(spark: SparkSession, path: str, id_col="doc_id", text_col="text
     kept = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "locator")
     state = rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min(kept).alias("kept"), F.count("*").alias("n"))
     out, work = scratch(spark, "digests"), scratch(spark, "dedup-stream")
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         # entries that a batch changed, under the batch's number: run again after a failure, it replaces its own
         query = state.writeStream.outputMode("update").option("checkpointLocation", work).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n:08d}")).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if query.lastProgress is None or not query.recentProgress or all(p["numInputRows"] == 0 for p in query.recentProgress):
         return spark.createDataFrame([], _state_schema(schema, id_col))
     seen = spark.read.schema(_state_schema(schema, id_col) + ", batch int").parquet(out)
