@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("symbol").orderBy("bar_date")
+def by_time():
+    return Window.partitionBy("symbol").orderBy("bar_date")
 
 
 def clean(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Rows with a date and positive high, low and close, up to as_of (inclusive), numbered by date. The cut goes below the numbering."""
     ok = F.col("bar_date").isNotNull() & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0)
     kept = bars.filter(ok if as_of is None else ok & (F.col("bar_date") <= as_of))
-    return kept.withColumn("idx", F.row_number().over(BY_TIME) - 1)
+    return kept.withColumn("idx", F.row_number().over(by_time()) - 1)
 
 
 def quarterly(bars: DataFrame) -> DataFrame:
@@ -63,9 +64,9 @@ def issues(bars: DataFrame) -> DataFrame:
 
 def heuristics(bars: DataFrame) -> DataFrame:
     """Extreme wicks (half the body reference and six times the median range of up to 24 bars before, at least 12) and fourfold jumps."""
-    trail = BY_TIME.rowsBetween(-24, -1)
+    trail = by_time().rowsBetween(-24, -1)
     body = (F.abs("open") + F.abs("close")) / 2
-    rows = bars.withColumns({"body": body, "range": (F.col("high") - F.col("low")) / body, "before": F.lag("close").over(BY_TIME)})
+    rows = bars.withColumns({"body": body, "range": (F.col("high") - F.col("low")) / body, "before": F.lag("close").over(by_time())})
     rows = rows.withColumn("trail", F.sort_array(F.collect_list("range").over(trail)))
     n = F.size("trail")
     middle = (F.try_element_at("trail", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("trail", F.floor((n + 2) / 2).cast("int"))) / 2
@@ -76,7 +77,7 @@ def heuristics(bars: DataFrame) -> DataFrame:
 
 def data_quality(bars: DataFrame) -> DataFrame:
     flags = heuristics(bars).groupBy("symbol").agg(F.sum(F.col("extreme_wick").cast("long")).alias("wicks"), F.sum(F.col("discontinuity").cast("long")).alias("jumps"))
-    numbered = bars.withColumn("pos", F.row_number().over(BY_TIME))
+    numbered = bars.withColumn("pos", F.row_number().over(by_time()))
     hard = issues(numbered).groupBy("symbol").agg(F.count("*").alias("hard"))
     all_ = flags.join(hard, "symbol", "left").na.fill({"hard": 0})
     return all_.withColumn("status", F.when(F.col("hard") > 0, "quarantined").when(F.col("wicks") + F.col("jumps") > 0, "flagged_for_review").otherwise("clear_by_defined_checks"))

@@ -75,7 +75,7 @@ def _(spark, d):
  SELECT symbol, pos, 'impossible_range' FROM t WHERE high < greatest(open, close, low) OR low > least(open, close, high) UNION ALL
  SELECT symbol, pos, 'invalid_field' FROM t WHERE close IS NULL UNION ALL SELECT symbol, pos, 'invalid_volume' FROM t WHERE volume < 0""")
 def _(spark, d):
-    b = dilated_bars(spark, d).withColumn("pos", F.row_number().over(B.BY_TIME))
+    b = dilated_bars(spark, d).withColumn("pos", F.row_number().over(B.by_time()))
     m = F.month("bar_date")
     damaged = b.withColumns({"open": F.when(m == 5, -F.col("open")).otherwise(F.col("open")), "high": F.when(m == 7, F.col("low") / 2).otherwise(F.col("high")), "close": F.when(m != 9, F.col("close")), "volume": F.when(m == 11, -F.col("volume")).otherwise(F.col("volume"))})
     return B.issues(damaged)
