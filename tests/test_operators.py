@@ -9,7 +9,7 @@ from basewatch.operators import bars, breakout, evaluate, peaks, reviews
 
 
 def months(values, start=2010):
-    return [("S", date(start + i // 12, i % 12 + 1, 1), v, v, v, v, 100.0 * (i % 3 + 1)) for i, v in enumerate(values)]
+    return [("S", date(start + i // 12, i % 12 + 1, 1), *[float(v)] * 4, 100.0 * (i % 3 + 1)) for i, v in enumerate(values)]
 
 
 SCHEMA = "symbol string, bar_date date, open double, high double, low double, close double, volume double"
@@ -39,7 +39,7 @@ def test_a_quarters_volume_needs_all_months(spark):
 
 def test_breakout_by_persistence_and_failure(spark):
     def state(closes):
-        rows = [("S", i, c, c, c, 100.0, 5.0) for i, c in enumerate(closes)]
+        rows = [("S", i, *[float(c)] * 3, 100.0, 5.0) for i, c in enumerate(closes)]
         return breakout.assess(spark.createDataFrame(rows, "symbol string, q_idx int, high double, low double, close double, lid double, band_pct double")).first()
 
     assert state([90.0, 95]).state == "sealed"
