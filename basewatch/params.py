@@ -32,6 +32,28 @@ class Params:
     expansion_pct: float = 10.0
     post_slope_pct: float = 15.0
     retest_tolerance_pct: float = 3.0
+    break_tolerance_pct: float = 2.5
+    touch_tolerance_pct: float = 3.5
+    touch_cluster: int = 6
+    pullback_bars: int = 3
+    single_pullback_pct: float = 30.0
+    last_depth_ratio: float = 0.65
+    pressed_pct: float = 90.0
+    proximity_gate_pct: float = 70.0
+    lid_band_pct: tuple[float, float] = (80.0, 120.0)
+    trend_r2: float = 0.85
+    sloped_touches: int = 3
+    sloped_establish: int = 8  # quarters, as the next three
+    sloped_confirm_gap: int = 4
+    sloped_total: int = 20
+    sloped_cluster: int = 2
+    sloped_change_pct: float = 5.1
+    sloped_slope_pct: tuple[float, float] = (0.75, 20.0)
+    sloped_touch_tolerance_pct: float = 7.0
+    sloped_fit_error_pct: float = 4.5
+    sloped_efficiency: float = 0.62
+    sloped_pullback_pct: float = 8.0
+    sloped_pullbacks: int = 2
     grade_floor: float = -3.0
     grade_a: tuple[float, float] = (-1.0, 5.0)
     grade_b: float = 6.5
