@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewatch.plans import events, price
+from basewatch.plans import events, price, structure
 
 
 def queries():
-    return price.QUERIES | events.QUERIES
+    return price.QUERIES | structure.QUERIES | events.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return price.SQL | events.SQL
+    return price.SQL | structure.SQL | events.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

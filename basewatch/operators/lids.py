@@ -130,6 +130,11 @@ def _efficiency(closes: Column) -> Column:
     return F.when(F.size(closes) < 2, 1.0).when(travel <= 0, 0.0).otherwise(net / travel)
 
 
+def _turned_down(c: DataFrame, name: str, reasons, tests) -> DataFrame:
+    """Column name: the reason of the first test that a row meets."""
+    return c.withColumn(name, F.coalesce(*[F.when(test, F.lit(reason)) for test, reason in zip(tests, reasons, strict=True)]))
+
+
 def sloped_lids(tops: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row for each pair of mountains: a line that a later mountain has to confirm; rank orders those that qualify.
 
@@ -145,28 +150,32 @@ def sloped_lids(tops: DataFrame, p: Params = DEFAULT) -> DataFrame:
     c = c.withColumns({"later": later, "at_done": line(F.col("n_done") - 1), "value_at_last": line(F.col("n_all") - 1)})
     c = c.withColumn("touches", _clustered(F.concat(F.array("a", "b"), F.col("later")), p.sloped_cluster))
     c = c.withColumn("confirmed_q", F.element_at("touches", -1)["q_idx"])
-    within = F.slice("done", F.col("a.q_idx") + 1, F.col("confirmed_q") - F.col("a.q_idx") + 1)
+    change = F.abs(F.col("b.price") - F.col("a.price")) / F.greatest("a.price", "b.price") * 100
+    steep = F.abs(F.col("slope") * 400 / F.nullif("at_done", F.lit(0.0)))
+    # most pairs fall to a test that costs nothing: what the later ones look at is worked out for the others only
+    c = _turned_down(c, "early", SLOPED_REASONS[:6], (
+        F.col("span") < p.sloped_establish, change < p.sloped_change_pct, (F.col("at_done") <= 0) | (F.col("value_at_last") <= 0), ~steep.between(*p.sloped_slope_pct),
+        F.size("later") == 0, F.size("touches") < p.sloped_touches,
+    ))
+    within = F.when(F.col("early").isNull(), F.slice("done", F.col("a.q_idx") + 1, F.col("confirmed_q") - F.col("a.q_idx") + 1))
 
     def depth(t, i):
         before = F.get(F.col("touches"), i)
         low = F.array_min(F.transform(F.slice("done", before["q_idx"] + 2, F.greatest(t["q_idx"] - before["q_idx"] - 1, F.lit(0))), lambda b: F.struct(b["low"], b["q_idx"])))
         return F.when(line(low["q_idx"]) > 0, (line(low["q_idx"]) - low["low"]) / line(low["q_idx"]) * 100)
 
-    c = c.withColumn("within", within)
+    c = c.withColumns({"within": within, "total": F.col("confirmed_q") - F.col("a.q_idx")})
+    c = c.withColumn("hits", F.when(F.col("early").isNull(), F.col("touches")))
     c = c.withColumns({
-        "fit_error_pct": F.sqrt(F.aggregate("touches", F.lit(0.0), lambda s, t: s + off(t) * off(t)) / F.size("touches")) * 100,
+        "fit_error_pct": F.sqrt(F.aggregate("hits", F.lit(0.0), lambda s, t: s + off(t) * off(t)) / F.size("hits")) * 100,
         "escapes": F.size(F.filter("within", lambda q: (line(q["q_idx"]) <= 0) | (q["close"] > line(q["q_idx"]) * (1 + p.break_tolerance_pct / 100)))),
-        "dips": F.size(F.filter(F.transform(F.slice("touches", 2, 1000), depth), lambda d: d >= p.sloped_pullback_pct)),
-        "closes": F.transform("within", lambda q: q["close"]), "total": F.col("confirmed_q") - F.col("a.q_idx"),
+        "dips": F.size(F.filter(F.transform(F.slice("hits", F.lit(2), F.size("hits")), depth), lambda d: d >= p.sloped_pullback_pct)),
     })
-    c = c.withColumns({"r2": _log_r2(F.col("closes")), "efficiency": _efficiency(F.col("closes")), "steep": F.abs(F.col("slope") * 400 / F.col("at_done")), "era": F.col("last_close") / F.col("value_at_last") * 100})
-    change = F.abs(F.col("b.price") - F.col("a.price")) / F.greatest("a.price", "b.price") * 100
-    tests = (
-        F.col("span") < p.sloped_establish, change < p.sloped_change_pct, (F.col("at_done") <= 0) | (F.col("value_at_last") <= 0), ~F.col("steep").between(*p.sloped_slope_pct),
-        F.size("later") == 0, F.size("touches") < p.sloped_touches, F.col("total") < p.sloped_total, F.col("fit_error_pct") > p.sloped_fit_error_pct, F.col("escapes") > 0,
-        F.col("dips") < p.sloped_pullbacks, F.col("r2") >= p.trend_r2, F.col("efficiency") > p.sloped_efficiency, F.col("era") < p.era_low_pct, F.col("era") > p.era_high_pct,
-    )
-    c = c.withColumn("reject_reason", F.coalesce(*[F.when(test, name) for test, name in zip(tests, SLOPED_REASONS, strict=True)]))
+    c = _turned_down(c, "middle", ("", *SLOPED_REASONS[6:10]), (F.col("early").isNotNull(), F.col("total") < p.sloped_total, F.col("fit_error_pct") > p.sloped_fit_error_pct, F.col("escapes") > 0, F.col("dips") < p.sloped_pullbacks))
+    c = c.withColumn("closes", F.when(F.col("middle").isNull(), F.transform("within", lambda q: q["close"])))
+    c = c.withColumns({"r2": _log_r2(F.col("closes")), "efficiency": _efficiency(F.col("closes")), "era": F.col("last_close") / F.nullif("value_at_last", F.lit(0.0)) * 100})
+    c = _turned_down(c, "late", ("", *SLOPED_REASONS[10:]), (F.col("middle").isNotNull(), F.col("r2") >= p.trend_r2, F.col("efficiency") > p.sloped_efficiency, F.col("era") < p.era_low_pct, F.col("era") > p.era_high_pct))
+    c = c.withColumn("reject_reason", F.coalesce("early", F.nullif("middle", F.lit("")), F.nullif("late", F.lit(""))))
     score = (
         0.25 * clamp01((F.size("touches") - 1) / 4) + 0.20 * clamp01(F.col("total") / (2.0 * p.sloped_total)) + 0.20 * clamp01(1 - F.col("fit_error_pct") / p.sloped_fit_error_pct)
         + 0.20 * clamp01(1 - F.col("efficiency") / p.sloped_efficiency) + 0.15 * clamp01(F.col("dips") / (p.sloped_pullbacks + 1.0))
@@ -180,7 +189,8 @@ def sloped_lids(tops: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def sloped_rejections(lids: DataFrame) -> DataFrame:
-    return lids.filter("reject_reason IS NOT NULL").groupBy("symbol", "reject_reason").agg(F.count("*").alias("n"))
+    # a filter on the reason would be pushed below, and would work it out twice
+    return lids.groupBy("symbol", "reject_reason").agg(F.count("reject_reason").alias("n")).filter("n > 0")
 
 
 def chosen(zones: DataFrame, sloped: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewatch.params import DEFAULT, Params
@@ -16,6 +16,24 @@ def pivots(bars: DataFrame, left: int, right: int, value: str = "high") -> DataF
     return bars.withColumn("pivot", ok).filter("pivot").drop("pivot")
 
 
+def mountain_pivots(quarters: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Quarters clearly above the one before and not clearly below the one after."""
+    w, tol = Window.partitionBy("symbol").orderBy("q_idx"), p.equal_tolerance_pct / 100
+    high = F.col("high")
+    return quarters.withColumn("pivot", (F.lag("high").over(w) < high * (1 - tol)) & (F.lead("high").over(w) <= high * (1 + tol))).filter("pivot").drop("pivot")
+
+
+def pair_lines(tops: DataFrame, gap: int) -> DataFrame:
+    """Lines through two of a symbol's tops that lie at least gap bars apart: symbol, a, b, price_a, slope."""
+    a, b = tops.alias("a"), tops.alias("b")
+    pairs = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("b.idx") - F.col("a.idx") >= gap))
+    return pairs.select("a.symbol", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.col("a.price").alias("price_a"), F.try_divide(F.col("b.price") - F.col("a.price"), F.col("b.idx") - F.col("a.idx")).alias("slope"))
+
+
+def line_at(idx: Column) -> Column:
+    return F.col("price_a") + F.col("slope") * (idx - F.col("a"))
+
+
 def swings(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Pivots with their prominence in percent: the drop to the higher of the two sides' lows, each up to the next bar that is higher, or pivot that is as high."""
     tops = pivots(bars, p.pivot_left, p.pivot_right).select("symbol", "idx", "bar_date", "high")

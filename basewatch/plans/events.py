@@ -9,19 +9,10 @@ from basewatch.functions.scalars import canonical_hash, wilson
 from basewatch.operators import evaluate as E
 from basewatch.operators import reviews as R
 from basewatch.operators import screen, vision
+from basewatch.plans.registry import registry
 from basewatch.sources.tables import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+query, QUERIES, SQL = registry()
 
 
 def _log(spark, d):

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from basewatch.functions.scalars import grade_for_slope
 from basewatch.operators import bars as B
 from basewatch.operators import breakout, peaks, screen
+from basewatch.plans.registry import registry
 from basewatch.sources.tables import DILATED_SQL, MONTHLY_SQL, dilated_bars, monthly_bars
 
-QUERIES, SQL = {}, {}
+query, QUERIES, SQL = registry()
 AS_OF = "2014-01-31"
 _NUMBERED = ", c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS idx FROM bars)"
 _QUARTERS = _NUMBERED + """, q AS (SELECT symbol, year(bar_date) AS year, quarter(bar_date) AS qtr, arg_min(open, idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, idx) AS close,
@@ -18,16 +19,6 @@ _QUARTERS = _NUMBERED + """, q AS (SELECT symbol, year(bar_date) AS year, quarte
  qq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year, qtr) - 1 AS q_idx FROM q)"""
 
 
-def query(name, sql=None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def _clean(spark, d):
     return B.clean(dilated_bars(spark, d))
 
