@@ -228,6 +228,15 @@ def test_personal_data(spark, docs):
     assert pii.digests(pii.find(d.limit(0))).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1, 127.0.0.1", "0.0.0.0 00.1.2.000", "at 192.168.0.1.", "0.0.0.256 0.0.0.0256", "0" * 4000 + ".0.0.0" + " 000.000.000.000"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digests(pii.find(rows)).collect()}
+    assert [got[i].n_ip for i in range(5)] == [2, 2, 1, 0, 2]
+    for i, t in enumerate(texts):
+        assert hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest() == got[i].base_sha256
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
