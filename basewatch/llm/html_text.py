@@ -7,8 +7,12 @@ smallest density on the way from the body to it is the threshold at which other
 that way belong to the text as well.
 
 Elements that say themselves what they are (navigation, forms, scripts; a class or id that names
-an advert, a sidebar, a notice or comments) are taken off before. Where the heart lies in an
-article element, the text is that element's: nothing beside it is looked at.
+an advert, a sidebar, a notice or comments by a whole token) are taken off before. A class or id
+takes off no article element, and what holds most of the page's unlinked text only beside an
+article with a title (a form that holds so much stays too); else the densities in it count less.
+Where the heart lies in an article
+element, the text is that element's: nothing beside it is looked at. Bare text beside the way,
+with the inline elements in it, is tested like a subtree.
 
 One map over pages. Null or empty html has empty text; broken markup is read as browsers do for
 the common cases (a paragraph ends where the next block begins); a page with no text has none.
@@ -28,16 +32,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never text of the article.
 DROPPED = frozenset("head script style noscript template nav aside form button select textarea input iframe object svg canvas audio video dialog menu footer".split())
-#: A class or id with one of these words (or several joined by - or _) is no part of the article.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|gdpr|popup|modal|newsletter|subscribe|sidebar|side|aside|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|replies|disqus|discussion|social|share|sharing|related|recommended|login|search|pagination|pager|tags?)(?:$|[\s_-])", re.IGNORECASE)
+#: Elements whose content isn't shown as text at all; it counts for nothing.
+UNSEEN = frozenset("head script style noscript template iframe object svg canvas audio video".split())
+#: A class or id names no part of the article where a whole token of it is one of these words, or is made of them and of QUALIFIERS alone.
+NOISE = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|gdpr|popup|modal|newsletter|subscribe|sidebar|side|aside|widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|replies|disqus|discussion|social|share|sharing|related|recommended|login|search|pagination|pager|tags?")
+QUALIFIERS = frozenset("area bar block box bottom buttons center col column container content footer form global group icons inner items left links list main meta nav outer panel posts primary right row secondary section signup site slot sticky stories sub text title top unit wrap wrapper".split())
+#: Words that also name the head of an article: no noise inside one, nor around its title.
+HEADS = frozenset("banner header masthead".split())
+#: What the density of an element counts that is noise by its class but holds most of the page's text.
+DOUBT = 0.25
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("attrs", "block", "chars", "density", "doubt", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "titled", "total")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
-        self.tag, self.parent, self.attrs = tag, parent, attrs
+        self.tag, self.parent, self.attrs, self.doubt = tag, parent, attrs, False
         self.kids: list[Node | str] = []
 
 
@@ -80,14 +91,34 @@ class _Builder(HTMLParser):
         self.at.kids.append(data)
 
 
-def _is_noise(n: Node) -> bool:
-    if n.tag in DROPPED or n.attrs.get("role", "").lower() in ROLES or "hidden" in n.attrs or n.attrs.get("aria-hidden", "").lower() == "true":
+def _named_noise(n: Node) -> set[str]:
+    """The noise words of whole tokens of an element's class and id."""
+    out: set[str] = set()
+    for token in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower().split():
+        words = [w for w in re.split("[_-]+", token) if w]
+        noise = [w for w in words if NOISE.fullmatch(w)]
+        if noise and (len(noise) == len(words) or all(w in QUALIFIERS or w.isdigit() or w in noise for w in words)):
+            out.update(noise)
+    return out
+
+
+def _is_noise(n: Node, most: float, titled: list[Node]) -> bool:
+    """Whether an element is taken off; where it is noise by name but has more than `most` unlinked characters, it stays in doubt, unless one of the titled articles stands beside it."""
+    if n.tag in DROPPED - {"form"} or n.attrs.get("role", "").lower() in ROLES or "hidden" in n.attrs or n.attrs.get("aria-hidden", "").lower() == "true":
         return True
     if n.tag == "header":
         return not any(p.tag in ("article", "main") for p in _up(n))
-    if n.tag in ("html", "body", "main"):
+    if n.tag in ("html", "body", "main", "article"):
         return False
-    return any(NOISE.search(v) for k in ("class", "id") if (v := n.attrs.get(k)))
+    named = _named_noise(n)
+    if named and named <= HEADS:
+        named = named if not (n.titled or any(p.tag in ("article", "main") for p in _up(n))) else set()
+    if n.tag != "form" and not named:
+        return False
+    if n.chars - n.link_chars <= most:
+        return True
+    n.doubt = n.tag != "form"
+    return n.doubt and any(a not in (*_up(n),) and n not in (*_up(a),) for a in titled)
 
 
 def _up(n: Node):
@@ -104,25 +135,58 @@ def _postorder(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def _measure(nodes: list[Node]) -> None:
-    """Characters, tags, and those of links; then densities with the body's share of link text."""
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags, and those of links; which elements hold a block or a title. Children come first."""
     for n in nodes:
         kids = [k for k in n.kids if not isinstance(k, str)]
         n.chars = sum(len("".join(k.split())) for k in n.kids if isinstance(k, str)) + sum(k.chars for k in kids)
         n.tags = len(kids) + sum(k.tags for k in kids)
         n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in kids)
         n.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
+        n.block = n.tag in BLOCK or any(k.block for k in kids)
+        n.titled = n.tag == "h1" or any(k.titled for k in kids)
+
+
+def _density(n: Node, share: float) -> float:
+    if not n.chars:
+        return 0.0
+    base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + math.e)
+    ratio = n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)
+    return n.chars / max(1, n.tags) * max(0.0, math.log(max(1.0, ratio)) / max(1.0, math.log(max(math.e, base))) + 1.0)
+
+
+def _measure(nodes: list[Node]) -> float:
+    """Counts, then densities with the body's share of link text, which is returned."""
+    _count(nodes)
     body = nodes[-1]
     share = body.link_chars / body.chars if body.chars else 0.0
+    weight: dict[int, float] = {}
+    for n in reversed(nodes):  # parents first: doubt holds for all below it
+        weight[id(n)] = (DOUBT if n.doubt else 1.0) * (weight[id(n.parent)] if n is not body else 1.0)
+        n.density = _density(n, share)
     for n in nodes:
-        if not n.chars:
-            n.density = 0.0
+        n.total = sum(k.density * weight[id(k)] for k in n.kids if not isinstance(k, str))
+    return share
+
+
+def _pieces(kids: list[Node | str], share: float) -> list[Node]:
+    """Children as candidates: blocks by themselves, text and the inline elements beside it as one."""
+    out: list[Node] = []
+    run = False
+    for k in kids:
+        if not isinstance(k, str) and k.block:
+            out.append(k)
+            run = False
             continue
-        base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + math.e)
-        ratio = n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)
-        n.density = n.chars / max(1, n.tags) * max(0.0, math.log(max(1.0, ratio)) / max(1.0, math.log(max(math.e, base))) + 1.0)
-    for n in nodes:
-        n.total = sum(k.density for k in n.kids if not isinstance(k, str))
+        if not run:
+            out.append(Node("#", None, {}))
+            run = True
+        out[-1].kids.append(k)
+    for n in out:
+        if n.tag == "#":
+            _count([n])
+            n.density = _density(n, share)
+    return out
 
 
 def _blocks(chosen: list[Node]) -> list[str]:
@@ -161,10 +225,15 @@ def main_text(html: str | None) -> str:
     b.feed(html)
     b.close()
     body = next((n for n in reversed(_postorder(b.root)) if n.tag == "body"), b.root)
-    for n in reversed(_postorder(body)):  # parents first: what is off is off with all below it
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _is_noise(k)]
+    for n in reversed(_postorder(body)):
+        n.kids = [k for k in n.kids if isinstance(k, str) or k.tag not in UNSEEN]
+    _count(nodes := _postorder(body))
+    most = (body.chars - body.link_chars) / 2
+    titled = [n for n in nodes if n.tag in ("article", "main") and n.titled]
+    for n in reversed(nodes):  # parents first: what is off is off with all below it
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _is_noise(k, most, titled)]
     nodes = _postorder(body)
-    _measure(nodes)
+    share = _measure(nodes)
     if not body.chars:
         return ""
     heart = max(reversed(nodes), key=lambda n: n.total)
@@ -176,20 +245,12 @@ def main_text(html: str | None) -> str:
         return "\n".join(_blocks([article]))
     way = way[: way.index(body) + 1]
     threshold = min(n.density for n in way)
-    kept = set(map(id, way))
-    chosen = [k for n in way[1:] for k in n.kids if not isinstance(k, str) and id(k) not in kept and k.density >= threshold] + [heart]
-    order = {id(n): i for i, n in enumerate(reversed(nodes))}
-    first = {id(n): i for i, n in enumerate(_preorder(body))}
-    return "\n".join(_blocks(sorted(chosen, key=lambda n: first.get(id(n), order[id(n)]))))
-
-
-def _preorder(root: Node) -> list[Node]:
-    out, stack = [], [root]
-    while stack:
-        n = stack.pop()
-        out.append(n)
-        stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
-    return out
+    chosen = [heart]
+    for below, n in zip(way, way[1:]):
+        at = next(i for i, k in enumerate(n.kids) if k is below)
+        before, after = ([k for k in _pieces(kids, share) if k.density * (DOUBT if k.doubt else 1.0) >= threshold] for kids in (n.kids[:at], n.kids[at + 1 :]))
+        chosen = [*before, *chosen, *after]
+    return "\n".join(_blocks(chosen))
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:

@@ -153,6 +153,27 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x</script>") == ""
 
 
+def test_main_text_keeps_articles_by_any_class():
+    p = "<p>" + "long text here. " * 9 + "</p>"
+    want = "Title\n" + ("long text here. " * 9).strip()
+    for c in ("post-12 post type-post category-world tag-economy hentry", "story related-topics", "tags", "widget sidebar"):
+        assert html_text.main_text(f"<body><nav>x</nav><article class='{c}'><h1>Title</h1>{p}</article></body>") == want
+    for c in ("content has-sidebar", "sidebar", "page with-comments", "widget"):
+        assert html_text.main_text(f"<body><div class='{c}'><div><h1>Title</h1>{p}{p}</div></div></body>") == want + "\n" + ("long text here. " * 9).strip()
+    for c in ("entry-header", "article-header", "header"):
+        assert html_text.main_text(f"<body><article><div class='{c}'><h1>Title</h1></div>{p}</article></body>") == want
+    off = "".join(f"<div class='{c}'>Buy now, all of this</div>" for c in ("ad", "cookie-banner", "box related_posts", "newsletter-signup", "comment-list"))
+    assert html_text.main_text(f"<body><form><article><h1>Title</h1>{off}{p}</article></form></body>") == want
+    remarks = "<div id='comments'>" + "<p>me too, and much more than that.</p>" * 40 + "</div>"
+    assert html_text.main_text(f"<body><article><h1>Title</h1>{p}</article>{remarks}</body>") == want
+
+
+def test_main_text_keeps_bare_text_beside_the_heart():
+    lead, p, last = "A bare <b>lead</b> of the story. " + "It goes on. " * 18, "<p>" + "long text here. " * 9 + "</p>", "And its bare end. " * 12
+    got = html_text.main_text(f"<body><div><a href=1>a</a></div>{lead}<div>{p}{p}</div>{last}<div><a href=2>b</a></div></body>")
+    assert got.split("\n") == [re.sub("</?b>", "", lead).strip(), ("long text here. " * 9).strip(), ("long text here. " * 9).strip(), last.strip()]
+
+
 def test_bpe_equals_the_library(spark, docs, odd):
     from tokenizers import Tokenizer
 
