@@ -258,6 +258,19 @@ def test_addresses_with_zero_parts(spark):
         assert hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest() == got[i].base_sha256
 
 
+def test_personal_data_without_base_form_is_added_and_look_alikes_stay(spark):
+    n = lambda i, k: f"{(i * 7919 + 13 * k) % 10 ** k:0{k}d}"
+    learnt = [f"some words, +1 ({n(i, 3)}) 555-{n(i, 4)} and then name{i}.x@mail{i % 9}.example.com so 10.{i % 200}.7.{i % 90 + 1} it goes" for i in range(300)]
+    planted = {"my phone: (605) 555-9305 now": "phone", "Tel. 605-555-9306, thanks": "phone", "call 1 605 555 9307": "phone", "write to jo.doe [at] mail [dot] example [dot] org soon": "email", "or jo(at)example.org then": "email", "seen from 203[.]0[.]113[.]9 today": "ip"}
+    alike = ["order (605) 555-9305 now", "the hotel 605-555-9306, thanks", "it is 1 605 555 9307", "meet me [at] noon then", "seen from 303[.]0[.]113[.]9 today"]
+    texts = [*planted, *alike, *learnt]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.added] for r in found}
+    assert [[k for k, _ in added[i]] for i in range(len(planted))] == [[k] for k in planted.values()], added
+    assert added[0] == [("phone", "(605) 555-9305")] and added[3] == [("email", "jo.doe [at] mail [dot] example [dot] org")] and added[5] == [("ip", "203[.]0[.]113[.]9")]
+    assert not any(added[i] for i in range(len(planted), len(texts))), added
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
