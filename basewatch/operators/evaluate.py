@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import random
+import math
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,25 +73,63 @@ def matched_dates(points: DataFrame, tolerance: int) -> DataFrame:
     return points.groupBy("episode").applyInPandas(run, "episode long, tp long, fp long, fn long")
 
 
-def bootstrap(counts: DataFrame, samples: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+#: Setups in a block of the bootstrap, on average.
+BLOCK = 128
+
+
+def bootstrap(counts: DataFrame, samples: int = 10_000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """counts(metric, setup, good, n), one row for each setup -> point and percentile interval of sum(good) / sum(n) under resampled setups.
 
-    Draws come from the same generator as the published figures, over setups in order; any
-    replicate without n leaves the bounds null."""
+    A replicate draws as many setups as there are, with replacement; any replicate without n leaves
+    the bounds null. Setups are dealt into blocks by hash. How many of a replicate's draws fall to a
+    block follows from binomial splits down a binary tree over the blocks, each seeded by its metric
+    and node, so that every task works out its own blocks' shares; the replicates are then added up
+    over blocks. The draws have the law of the published figures' but aren't the same."""
+    counts = counts.select("metric", "setup", F.col("good").cast("long").alias("good"), F.col("n").cast("long").alias("n"))
+    most = counts.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(1, most / BLOCK))))
+    dealt = counts.withColumn("block", F.pmod(F.xxhash64("setup"), F.lit(1 << depth)))
+    sizes = dealt.groupBy("metric", "block").agg(F.count("*").alias("size"))
+    nodes = sizes.select("metric", "block", "size", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("node", F.expr(f"shiftright(block, {depth} - level)"))
+    whole = nodes.groupBy(F.col("metric").alias("m"), F.col("level").alias("l"), F.col("node").alias("k")).agg(F.sum("size").alias("setups"))
+    # each block's way from the root: the setups below each node on it
+    way = nodes.join(whole, F.col("metric").eqNullSafe(F.col("m")) & (F.col("level") == F.col("l")) & (F.col("node") == F.col("k")))
+    way = way.groupBy(F.col("metric").alias("m"), F.col("block").alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "setups"))), lambda x: x["setups"]).alias("way"))
+    rows = dealt.join(way, F.col("metric").eqNullSafe(F.col("m")) & (F.col("block") == F.col("b"))).select("metric", "setup", "good", "n", "block", "way")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("setup")
-        good, n, rng, values = pdf["good"].to_numpy(), pdf["n"].to_numpy(), random.Random(seed), []
-        for _ in range(samples):
-            at = [rng.randrange(len(n)) for _ in range(len(n))]
-            total = n[at].sum()
-            values.append(good[at].sum() / total if total else None)
-        whole = n.sum()
-        ok = len(n) > 1 and None not in values
-        low, high = (pd.Series(values, dtype=float).quantile([(1 - confidence) / 2, (1 + confidence) / 2]) if ok else (None, None))
-        return pd.DataFrame([{"metric": pdf["metric"].iloc[0], "point": good.sum() / whole if whole else None, "low": low, "high": high, "setups": len(n)}])
-
-    return counts.groupBy("metric").applyInPandas(run, "metric string, point double, low double, high double, setups long")
+        metric, block, way = pdf["metric"].iloc[0], int(pdf["block"].iloc[0]), [int(x) for x in pdf["way"].iloc[0]]
+        name = zlib.crc32(str(metric).encode())
+        rng = lambda *at: np.random.default_rng([seed, name, *at])
+        drawn = np.full(samples, way[0])
+        for level in range(1, depth + 1):
+            # the left child's share is drawn from the parent's seed, so that both children see the same split
+            node, here, above = block >> (depth - level), way[level], way[level - 1]
+            left = here if node % 2 == 0 else above - here
+            share = rng(0, level, node >> 1).binomial(drawn, left / above)
+            drawn = share if node % 2 == 0 else drawn - share
+        good, n, r = pdf["good"].to_numpy(), pdf["n"].to_numpy(), rng(1, block)
+        out = np.zeros((2, samples), dtype="int64")
+        step = max(1, 2_000_000 // max(1, len(n)))
+        for at in range(0, samples, step):
+            k = drawn[at : at + step]
+            picked, ends = r.integers(len(n), size=int(k.sum())), np.cumsum(k)
+            for i, values in enumerate((good, n)):
+                sums = np.concatenate([[0], np.cumsum(values[picked])])
+                out[i, at : at + step] = sums[ends] - sums[ends - k]
+        return pd.DataFrame({"metric": metric, "replicate": np.arange(samples), "good": out[0], "n": out[1]})
+
+    kind = counts.schema["metric"].dataType.simpleString()
+    # small rows, much work: as many tasks as a shuffle has, which adaptive execution doesn't merge
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = rows.repartition(tasks, "metric", "block").groupBy("metric", "block").applyInPandas(run, f"metric {kind}, replicate long, good long, n long")
+    drawn = drawn.groupBy("metric", "replicate").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).select("metric", (F.col("good") / F.nullif(F.col("n"), F.lit(0))).alias("value"))
+    tails = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
+    bounds = drawn.groupBy(F.col("metric").alias("m")).agg(F.when(F.count("value") == F.count("*"), F.percentile("value", tails)).alias("b"))
+    points = counts.groupBy("metric").agg((F.sum("good") / F.nullif(F.sum("n"), F.lit(0))).alias("point"), F.count("*").alias("setups"))
+    bound = lambda i: F.when(F.col("setups") > 1, F.col("b")[i])
+    return points.join(bounds, F.col("metric").eqNullSafe(F.col("m")), "left").select("metric", "point", bound(0).alias("low"), bound(1).alias("high"), "setups")
 
 
 def rate(good: Column, n: Column) -> Column:

@@ -122,7 +122,7 @@ def _(spark, d):
 @query("agg_bootstrap_ci")
 def _(spark, d):
     p = _pairs(spark, d).groupBy(F.col("expected").alias("metric"), F.col("setup")).agg(F.count_if(F.col("expected") == F.col("predicted")).alias("good"), F.count("*").alias("n"))
-    return E.bootstrap(p, samples=200)
+    return E.bootstrap(p)
 
 
 @query("normalize_tickers", "WITH t AS (SELECT o_orderkey AS pos, upper(trim(' ' || lower(o_orderpriority) || ' ')) AS ticker FROM orders) SELECT ticker, min(pos) AS pos FROM t WHERE ticker != '' GROUP BY ticker")

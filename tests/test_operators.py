@@ -70,3 +70,21 @@ def test_date_matching():
 
 def test_data_quality_on_no_rows(spark):
     assert bars.data_quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bootstrap_draws_whole_replicates_in_blocks(spark):
+    import inspect
+
+    import numpy as np
+
+    assert inspect.signature(evaluate.bootstrap).parameters["samples"].default == 10_000
+    rows = [("a", i, i % 3, 1 + i % 4) for i in range(900)] + [("one", 1, 1, 2), ("empty", 1, 0, 0), ("empty", 2, 1, 1)]
+    counts = spark.createDataFrame(rows, "metric string, setup long, good long, n long")
+    got = {r.metric: r for r in evaluate.bootstrap(counts).collect()}
+    good, n = (np.array([r[k] for r in rows[:900]]) for k in (2, 3))
+    at = np.random.default_rng(1).integers(900, size=(10_000, 900))
+    want = np.quantile(good[at].sum(1) / n[at].sum(1), [0.025, 0.975])
+    assert np.allclose([got["a"].low, got["a"].high], want, atol=0.003) and got["a"].point == good.sum() / n.sum() and got["a"].setups == 900
+    assert (got["one"].point, got["one"].low, got["one"].high) == (0.5, None, None) and got["empty"].low is None and got["empty"].point == 1.0
+    again = {r.metric: r for r in evaluate.bootstrap(counts.repartition(7)).collect()}
+    assert again == got
