@@ -8,20 +8,27 @@ of the 56 bands with a chance over 0.99998, two of 0.33 with one under 0.08.
 Documents with equal sets are one node. In a bucket every node is held, on full sets, against one
 centre; the links make components. Buckets whose nodes then lie in several components are gone
 through again with another centre. The nodes of buckets that still hold several components are
-joined exactly: two sets are similar only if they share one of the rarest quarter (and one more) of
-either's shingles, rare among these nodes, so a passage that a third of them share makes no pairs of
-documents that say more than it. Pairs within a component, tested ones, and those that sizes or
-sketches rule out, aren't tested. A sketch is four bits of each of the 336 signature values; sets of similarity 0.75 differ in 79
-values with a deviation of 8, and a pair is ruled out beyond 125, six deviations off. So a large
-group of near copies costs rows in proportion to its size, and no link in a bucket is lost but
-with a chance of one in a thousand million.
+joined exactly, by place in one common order (see `across`): shingles that no node of another
+component has come first, then the rarest. A set's shingles from the first common one on have to
+hold the whole intersection, so both sets must meet within the first seventh of the smaller one
+and at a place of the larger one that follows from the two sizes. Sets that share a passage and
+else are different never meet, however many there are: their own shingles fill that seventh.
+Sizes are part of the join's key, in classes, so that rows which can't be similar aren't compared.
+Tested pairs aren't tested again. In the steps by centre, pairs that sizes or sketches rule out
+aren't tested. A sketch is four bits of each of the 336 signature values; sets of similarity 0.75
+differ in 79 values with a deviation of 8, and a pair is ruled out beyond 125, six deviations off.
+So a large group of near copies costs rows in proportion to its size, and no link in a bucket is
+lost but with a chance of one in a thousand million.
 
 Links are exact: intersection and union of the full sets (of 64-bit shingle hashes). Components
 are found by passing on smallest labels with jumps, each round written to the shared folder.
 
 Defined cases: a text with fewer than five words is one shingle; null text or one without words
 has the empty set and is linked with nothing; rows with a null doc_id are linked with nothing and
-have a null component; repeated rows are copies of each other; an empty table gives an empty one.
+have a null component; repeated rows are copies of each other; rows that share a doc_id but not
+their text are judged each by its own text, and a component's id is still its smallest doc_id; a
+very long text is one row of a task, and its set has to fit there; an empty table gives an empty
+one; other columns, whatever their names, are carried or left alone.
 """
 
 from __future__ import annotations
@@ -106,8 +113,9 @@ class Signer:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs -> doc_id, n_shingles, set_key (digest of the set, null if empty), bands, sketch."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """docs -> doc_id, text_key, n_shingles, set_key (digest of the set, null if empty), bands, sketch."""
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def run(batches):
         import xxhash
@@ -123,9 +131,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands.append(signer.bands(v) if len(s) else [])
                 sketches.append(signer.sketch(v))
             words = np.array(sketches, np.int64).reshape(len(n), len(_SKETCH))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, i]) for i in range(len(_SKETCH))]], ["doc_id", "n_shingles", "set_key", "bands", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, i]) for i in range(len(_SKETCH))]], ["doc_id", "text_key", "n_shingles", "set_key", "bands", *_SKETCH])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>, " + ", ".join(f"{k} long" for k in _SKETCH))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key string, bands array<long>, " + ", ".join(f"{k} long" for k in _SKETCH))
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,44 +202,84 @@ def _allowed(x: str, y: str):
     return ((LINK[1] * F.least(a, b)) >= (LINK[0] * F.greatest(a, b))) & (apart <= SKETCH_APART)
 
 
-def rare_shingles(contested: DataFrame, texts: DataFrame) -> DataFrame:
-    """contested(node, n_shingles, ...), texts(node, text) -> node, n_shared, shingle: those of the rarest quarter and one more that another node has too, and how many in all another has.
+def placed_shingles(contested: DataFrame, texts: DataFrame) -> DataFrame:
+    """contested(node, label, n_shingles), texts(node, text) -> node, label, n, n_shared, shingle, place.
 
-    A set shares at least three quarters of itself with any similar one, so one of any other
-    quarter and one more; counted from the rarest on, with the hash to break ties, alike for all.
-    """
+    Of each set those shingles that a node of another label has too, with their place: those that
+    none has come first, then the rarest, with the hash to break ties, alike for all. n_shared is
+    how many the set has. Only places from which on there are enough for a link are kept, and only
+    sets that share enough of themselves."""
 
     def run(batches):
         shingler = Shingler()
         for b in batches:
-            for node, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
+            for node, label, t in zip(b.column("node").to_pylist(), b.column("label").to_pylist(), b.column("text"), strict=True):
                 s = shingler.set_of(t.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s)], ["node", "shingle"])
-
-    every = cut(texts.join(contested.select("node"), "node").select("node", "text").mapInArrow(run, "node long, shingle long"), "shingles")
-    shared = every.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    own = every.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
-    own = own.join(contested.select("node", "n_shingles"), "node")
-    quarter = F.col("n_shingles") - F.ceil(F.col("n_shingles") * LINK[0] / LINK[1]) + 1
-    room = F.greatest(quarter - (F.col("n_shingles") - F.size("own")), F.lit(0)).cast("int")  # after those that no other node has
-    own = own.withColumn("n_shared", F.size("own")).filter(LINK[1] * F.col("n_shared") >= LINK[0] * F.col("n_shingles"))
-    return own.select("node", "n_shared", F.explode(F.slice("own", F.lit(1), room)).alias("s")).select("node", "n_shared", "s.shingle")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(np.full(len(s), label, np.int64)), pa.array(s)], ["node", "label", "shingle"])
+
+    every = texts.join(contested.select("node", "label"), "node").select("node", "label", "text").mapInArrow(run, "node long, label long, shingle long")
+    every = cut(every, "shingles")
+    shared = every.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    own = every.join(shared.select("shingle", "df"), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    own = own.join(contested.select("node", "label", F.col("n_shingles").alias("n")), "node").withColumn("n_shared", F.size("own").cast("long"))
+    own = own.filter(LINK[1] * F.col("n_shared") >= LINK[0] * F.col("n"))
+    room = F.floor(F.col("n") * (LINK[1] - LINK[0]) / LINK[1]) + 1 - (F.col("n") - F.col("n_shared"))
+    own = own.select("node", "label", "n", "n_shared", F.posexplode(F.slice("own", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("at", "s"))
+    return own.select("node", "label", "n", "n_shared", "s.shingle", (F.col("n") - F.col("n_shared") + F.col("at")).alias("place"))
+
+
+def _size_class(n):
+    return F.floor(F.ln(n.cast("double")) * 32).cast("int")
+
+
+def across(placed: DataFrame) -> DataFrame:
+    """placed_shingles()'s rows -> pairs a, b of different labels that may be linked: all that are linked are among them.
+
+    Linked sets of n and m shingles have at least t(n + m) / (1 + t) in common for similarity t. The
+    first common shingle in the common order stands at places p and q; all that is common stands
+    there or after it, so n - p and m - q must be that large. Hence m is at most ((1 + t)(n - p) -
+    tn) / t for the smaller set, and likewise for the larger one, which gives the size classes that
+    an entry can meet."""
+    link, both = LINK[0], LINK[0] + LINK[1]
+    n, p = F.col("n"), F.col("place")
+    most = F.floor((both * (n - p) - link * n) / link)  # of the other set
+    short = placed.filter(most >= n).select(*[F.col(c).alias(f"s_{c}") for c in ("node", "label", "n", "n_shared", "place")], "shingle", _size_class(n).alias("small"), F.explode(F.sequence(_size_class(n), _size_class(most))).alias("large"))
+    least = F.ceil(n * link / LINK[1])
+    long = placed.filter(most >= least).select(*[F.col(c).alias(f"l_{c}") for c in ("node", "label", "n", "n_shared", "place")], "shingle", F.explode(F.sequence(_size_class(least), _size_class(F.least(n, most)))).alias("small"), _size_class(n).alias("large"))
+    s, l = (lambda c: F.col(f"s_{c}")), (lambda c: F.col(f"l_{c}"))  # noqa: E741
+    met = short.join(long, ["shingle", "small", "large"])
+    need = link * (s("n") + l("n"))
+    met = met.filter((s("label") != l("label")) & ((s("n") < l("n")) | ((s("n") == l("n")) & (s("node") < l("node")))))
+    met = met.filter((both * (s("n") - s("place")) >= need) & (both * (l("n") - l("place")) >= need) & (both * F.least(s("n_shared"), l("n_shared")) >= need))
+    return met.select(F.greatest("s_node", "l_node").alias("a"), F.least("s_node", "l_node").alias("b")).distinct()
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Signed rows -> one node for each distinct set: set_key, node, first_id, text_key, n_shingles, bands, sketch.
+
+    A node is named by the smallest doc_id of its set. Where rows of one doc_id have different
+    sets, these get names of their own below all ids, by their digest."""
+    full = rows.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
+    one = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", *_SKETCH)])
+    one = one.select("set_key", F.col("m.doc_id").alias("first_id"), "m.text_key", "n_shingles", "bands", *_SKETCH)
+    several = full.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low != high").select(F.col("doc_id").alias("first_id"), F.lit(True).alias("unsure"))
+    own_name = -(F.lit(2**62) + F.pmod(F.xxhash64("set_key"), F.lit(2**62)))
+    return one.join(several, "first_id", "left").withColumn("node", F.when(F.col("unsure"), own_name).otherwise(F.col("first_id"))).drop("unsure")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, kept."""
     rows = cut(signed(docs, id_col, text_col), "signed")
-    full = rows.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    node_of = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    members = full.join(node_of, "set_key")
-    nodes = members.filter("doc_id = node").dropDuplicates(["node"])
+    nodes = cut(_nodes(rows), "nodes")
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
     buckets = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     # only buckets of several nodes: everything below works on these few rows
     shared = cut(in_bands.join(buckets.select("band", "centre"), "band"), "buckets")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    texts = cut(texts.join(shared.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
-    marks = cut(nodes.join(shared.select("node").distinct(), "node").select("node", "n_shingles", *_SKETCH), "sketches")
+    marks = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first_id", "text_key", "n_shingles", *_SKETCH), "sketches")
+    text = F.col(text_col).cast("binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    texts = cut(texts.join(marks.select("node", "first_id", "text_key"), ["first_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    marks = marks.drop("first_id", "text_key")
 
     def stars(rows: DataFrame) -> DataFrame:
         """rows(node, centre) -> pairs of different nodes that may be similar."""
@@ -247,13 +295,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         apart = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", "label").alias("other")).filter("low != high")
         left = cut(named.join(apart, "band").select("band", "node", "label", "other"), "apart")
         if last:
-            contested = cut(left.select("node", "label").distinct().join(marks, "node"), "contested")
-            rare = cut(rare_shingles(contested, texts).join(contested, "node"), "rare")
-            x, y = rare.alias("x"), rare.alias("y")
-            # no two sets have more in common than what either shares with any other
-            enough = sum(LINK) * F.least("x.n_shared", "y.n_shared") >= LINK[0] * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-            across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & enough & _allowed("x", "y"))
-            new = across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+            contested = cut(left.select("node", "label").distinct().join(marks.select("node", "n_shingles"), "node"), "contested")
+            new = across(cut(placed_shingles(contested, texts), "placed"))
         else:
             of_other = left.filter("node = other").select("band", F.col("label").alias("other_label"))
             new = stars(left.join(of_other, "band").filter("label != other_label").select("node", F.col("other").alias("centre")))
@@ -262,8 +305,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         if more.limit(1).count():
             labels = components(more, labels)
         tested = tested.unionByName(new)
-    of_node = members.select("doc_id", "node").distinct().join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component"))
-    out = rows.join(of_node, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    of_set = nodes.select("set_key", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = of_set.groupBy("label").agg(F.min("first_id").alias("component"))
+    of_set = of_set.select("set_key", "label").join(names, "label").select("set_key", "component")
+    known = F.col("doc_id").isNotNull()
+    out = rows.select("doc_id", "n_shingles", F.when(known, F.col("set_key")).alias("set_key")).join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
