@@ -7,11 +7,13 @@ the merges; so all adjacent pairs of the batch are held, as numbers, against the
 far, pairs not seen before are decided once, and only pre-tokens with a pair that fails are
 merged in rank order.
 
-The work is one map over rows, without a shuffle. What a worker keeps (chunks, pairs) is bounded:
-beyond the bound it is thrown away and built again, which changes the time and not the result.
+The work is one map over rows, without a shuffle. What a worker keeps (chunks, words, pairs) is
+bounded by size: what wasn't used since the last time that the bound was reached is thrown away and
+built again when needed, which changes the time and not the result. Chunks and words end with the task.
 
 Defined cases: null text counts as empty, which has no tokens; very long chunks merge in
-O(n log n); repeated rows each come out; other columns aren't read.
+O(n log n); repeated rows each come out; an empty table gives an empty one; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 600_000, 600_000, 2_000_000
+#: Of a generation of chunks or words: characters, with OVERHEAD for each entry. Pairs: their number.
+CACHED, OVERHEAD, CACHED_PAIRS = 14_000_000, 40, 1_000_000
 #: Unicode's White_Space, as the vocabulary's own patterns have it.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() splits there, the patterns don't
@@ -43,6 +46,33 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Recent:
+    """A bounded store of two generations: what the older one has and nobody asks for again is dropped."""
+
+    def __init__(self, limit: int = CACHED):
+        self.limit, self.weight, self.young, self.old = limit, 0, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of keys that aren't known; all others are in the young generation afterwards."""
+        if self.weight > self.limit:
+            self.weight, self.young, self.old = 0, {}, self.young
+        young, old = self.young, self.old
+        new = keys.difference(young)
+        if old:
+            again = new.intersection(old)
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            self.weight += sum(map(len, again)) + OVERHEAD * len(again)
+            new.difference_update(again)
+        return new
+
+    def add(self, found: dict) -> None:
+        self.young.update(found)
+        self.weight += sum(map(len, found)) + OVERHEAD * len(found)
+
+    def clear(self) -> None:
+        self.weight, self.young, self.old = 0, {}, {}
+
+
 class Encoder:
     def __init__(self, path: str):
         import regex
@@ -55,7 +85,7 @@ class Encoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.words_in = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.byte_names = _byte_names()
-        self.words: dict[str, list[int]] = {}
+        self.words = Recent()  # pre-token -> ids
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.vocab = vocab
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -69,7 +99,7 @@ class Encoder:
         self.name_bytes = [self.name.get(i, "").encode() for i in range(self.n_ids)]
         self.good_pairs = np.empty(0, np.int64)
         self.bad_pairs = np.empty(0, np.int64)
-        self.chunks: dict[str, tuple[bytes, int, bytes]] = {}
+        self.chunks = Recent()  # chunk -> ids' bytes, their number, decoded bytes
         self.merged_words = self.guessed_words = 0
 
     def guess(self, word: str) -> list[int] | None:
@@ -148,8 +178,8 @@ class Encoder:
         pairs = ids * (self.n_ids + 1) + follower  # every adjacent pair, and each last token alone
         distinct = np.unique(pairs)
         new = distinct[~np.isin(distinct, self.good_pairs, assume_unique=True) & ~np.isin(distinct, self.bad_pairs, assume_unique=True)]
-        if len(self.good_pairs) > CACHED_PAIRS:
-            self.good_pairs, new = np.empty(0, np.int64), np.setdiff1d(distinct, self.bad_pairs, assume_unique=True)
+        if len(self.good_pairs) + len(self.bad_pairs) > CACHED_PAIRS:
+            self.good_pairs, self.bad_pairs, new = np.empty(0, np.int64), np.empty(0, np.int64), distinct
         holds = np.fromiter((self._holds(int(p)) for p in new), bool, len(new))
         self.good_pairs = np.union1d(self.good_pairs, new[holds])
         self.bad_pairs = np.union1d(self.bad_pairs, new[~holds])
@@ -177,14 +207,12 @@ class Encoder:
         """Add the chunks' encodings to self.chunks."""
         parts = {c: self._parts(c) for c in chunks}
         words = {w for p in parts.values() for w in p if isinstance(w, str)}
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words, new = {}, words
-        done = self.words
-        done.update(self.verified(list(new)))
+        self.words.add(self.verified(list(self.words.missing(words))))
+        done, found = self.words.young, {}
         for c, p in parts.items():
             ids = [t for w in p for t in (done[w] if isinstance(w, str) else (w,))]
-            self.chunks[c] = b"".join([self.id_bytes[t] for t in ids]), len(ids), b" ".join([self.name_bytes[t] for t in ids])
+            found[c] = b"".join([self.id_bytes[t] for t in ids]), len(ids), b" ".join([self.name_bytes[t] for t in ids])
+        self.chunks.add(found)
 
     def split(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
@@ -195,14 +223,17 @@ class Encoder:
         for at in range(0, len(texts), 512):
             split = [self.split(t) for t in texts[at : at + 512]]
             distinct = set().union(*split)
-            if len(self.chunks) + len(distinct) > CACHED_CHUNKS:
-                self.chunks = {}
-            self.learn(distinct.difference(self.chunks))
+            self.learn(self.chunks.missing(distinct))
+            known = self.chunks.young
             for chunks in split:
-                found = [x for x in map(self.chunks.__getitem__, chunks) if x[1]]
+                found = [x for x in map(known.__getitem__, chunks) if x[1]]
                 out.append((b"".join([x[0] for x in found]), sum([x[1] for x in found]), b" ".join([x[2] for x in found])))
         return out
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
     def decode(self, ids) -> str:
         return " ".join(self.name[int(i)] for i in ids)
 
@@ -236,6 +267,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool
             else:
                 cols = {"ids": pa.array([x[0] for x in done], pa.binary()), "n_tokens": n, "decoded": pa.array([x[2].decode() for x in done], pa.string())}
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols.values()], ["doc_id", *cols])
+        e.forget()
 
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, n_tokens long, decoded string"
     return rows.mapInArrow(run, f"doc_id {kind}, {more}")
