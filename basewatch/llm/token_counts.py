@@ -13,8 +13,11 @@ its file has only an order, so piece number r of that order has probability in p
 UTF-8 byte. Of segmentations with equal scores the one with fewest tokens counts.
 
 One map over rows, no shuffle. The counts that a worker keeps are bounded: beyond that they are
-thrown away and computed again. Null text has no tokens; a very long pre-token costs time in
-proportion to its length; repeated rows each come out.
+thrown away and computed again, and they end with the task.
+
+Defined cases: null or empty text has no tokens; a very long pre-token costs time in proportion to
+its length; repeated rows each come out; an empty table gives an empty one; other columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from basewatch.llm.pieces import MARK, WIDE, Words, piece_table, unknown_log_prob, zipf_log_probs
 
-MAX_WORDS, BLOCK = 1_000_000, 65_536
+MAX_WORDS, BLOCK = 300_000, 65_536
 TIE = 1e-9
 
 
@@ -122,5 +125,6 @@ def token_counts(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -
         for b in batches:
             done = c.documents(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        c.counts = {}  # a worker outlives its task
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")
