@@ -13,9 +13,15 @@ hash of their id; their counts are added up by Spark, the passes run in its task
 gets one row of numbers for each language: languages times pieces, whatever the input's size.
 
 Only text and the label are used in training, and text alone in prediction. Words are runs of
-letters, lower-cased. Longer ones than the matrix takes are cut, so that the whole text counts.
-A text that is null or has no letter is `und` with score 0; rows without label aren't learnt
-from; equal scores go to the language first in order; with nothing to learn from all is `und`.
+letters, lower-cased, and never cut: blocks are made of words of like length, and long ones are
+summed in logarithms, so that no segmentation is left out and nothing underflows.
+
+Defined cases: a text that is null or has no letter is `und` with score 0; rows without label aren't
+learnt from; equal scores go to the language first in order; with nothing to learn from all is
+`und`; repeated rows are learnt from as often as they stand and each come out; a word of very many
+letters costs time in proportion to them; an empty table gives an empty one; other columns, whatever
+their names, aren't read. More than `MAX_LANGS` languages are an error, since the model has a number
+for each piece and language.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ from basewatch.llm.common import cut
 from basewatch.llm.pieces import MARK, WIDE, Words, piece_table, unknown_log_prob, zipf_log_probs
 
 SAMPLE, ROUNDS, SMOOTH = 4000, 2, 0.5
-BLOCK, MAX_WORDS = 32_768, 400_000
+BLOCK, MAX_WORDS, MAX_LANGS = 32_768, 400_000, 400
+#: In linear space every character is worth e to the STEP more: up to WIDE characters then stay within the range of doubles.
+STEP = 10.0
 
 
 class Segmenter:
@@ -53,39 +61,89 @@ class Segmenter:
                 yield d, k, rows[hit], piece[hit], rows[~hit] if k == 1 else None
 
     def forward(self, w: Words, edges) -> np.ndarray:
+        """Sums over all segmentations of each prefix, times e to the STEP for each character."""
         a = np.zeros((w.width + 1, len(w.lengths), self.probs.shape[1]))
         a[0] = 1
         for d, k, rows, piece, missing in edges:
-            a[d, rows] += a[d - k, rows] * self.probs[piece]
+            a[d, rows] += a[d - k, rows] * (self.probs[piece] * np.exp(STEP * k))
             if missing is not None:
-                a[d, missing] += a[d - 1, missing] * self.unknown
+                a[d, missing] += a[d - 1, missing] * (self.unknown * np.exp(STEP))
+        return a
+
+    def forward_logs(self, w: Words, edges) -> np.ndarray:
+        """Logarithms of the sums over all segmentations of each prefix."""
+        a = np.full((w.width + 1, len(w.lengths), self.probs.shape[1]), -np.inf)
+        a[0] = 0
+        for d, k, rows, piece, missing in edges:
+            a[d, rows] = np.logaddexp(a[d, rows], a[d - k, rows] + np.log(self.probs[piece]))
+            if missing is not None:
+                a[d, missing] = np.logaddexp(a[d, missing], a[d - 1, missing] + np.log(self.unknown))
         return a
 
     def log_probs(self, words: list[str]) -> np.ndarray:
-        w = Words(words)
-        return np.log(self.forward(w, self.lattice(w))[w.lengths, np.arange(len(words))])
+        out = np.zeros((len(words), self.probs.shape[1]))
+        for at in blocks(words):
+            w = Words([words[i] for i in at])
+            rows = np.arange(len(at))
+            if w.width <= WIDE:
+                out[at] = np.log(self.forward(w, self.lattice(w))[w.lengths, rows]) - STEP * w.lengths[:, None]
+            else:
+                out[at] = self.forward_logs(w, self.lattice(w))[w.lengths, rows]
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by language; counts: words x languages."""
-        w = Words(words)
-        edges = list(self.lattice(w))
-        a, b = self.forward(w, edges), np.zeros((w.width + 1, len(words), self.probs.shape[1]))
-        at = np.arange(len(words))
-        b[w.lengths, at] = counts / a[w.lengths, at]
         out = np.zeros_like(self.probs)
+        for at in blocks(words):
+            w = Words([words[i] for i in at])
+            (self._expected if w.width <= WIDE else self._expected_logs)(w, counts[at], out)
+        return out
+
+    def _expected(self, w: Words, counts: np.ndarray, out: np.ndarray) -> None:
+        edges, at = list(self.lattice(w)), np.arange(len(w.lengths))
+        a = self.forward(w, edges)
+        b = np.zeros_like(a)
+        b[w.lengths, at] = counts / a[w.lengths, at]
         for d, k, rows, piece, missing in reversed(edges):
             if missing is not None:
-                b[d - 1, missing] += b[d, missing] * self.unknown
-            use = b[d, rows] * self.probs[piece]
+                b[d - 1, missing] += b[d, missing] * (self.unknown * np.exp(STEP))
+            use = b[d, rows] * (self.probs[piece] * np.exp(STEP * k))
             b[d - k, rows] += use
             np.add.at(out, piece, use * a[d - k, rows])
-        return out
 
-
-def cut_words(words) -> list[str]:
-    """Each word with its mark; longer ones than the matrix takes in parts."""
-    room = WIDE - 1
-    return [MARK + w[i : i + room] for w in words for i in range(0, len(w), room)]
+    def _expected_logs(self, w: Words, counts: np.ndarray, out: np.ndarray) -> None:
+        edges, at = list(self.lattice(w)), np.arange(len(w.lengths))
+        a = self.forward_logs(w, edges)
+        b = np.full_like(a, -np.inf)
+        with np.errstate(divide="ignore"):
+            b[w.lengths, at] = np.log(counts) - a[w.lengths, at]
+        for d, k, rows, piece, missing in reversed(edges):
+            if missing is not None:
+                b[d - 1, missing] = np.logaddexp(b[d - 1, missing], b[d, missing] + np.log(self.unknown))
+            use = b[d, rows] + np.log(self.probs[piece])
+            b[d - k, rows] = np.logaddexp(b[d - k, rows], use)
+            np.add.at(out, piece, np.exp(use + a[d - k, rows]))
+
+
+def blocks(words: list[str]):
+    """Indices of words in blocks of like length; a block's matrix has at most BLOCK * WIDE cells, or one row."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        # the longest word is the last: widen while the matrix still fits; words of the linear path don't share a block with longer ones
+        end = start + 1
+        low, high = end, len(order)
+        if lengths[order[start]] <= WIDE:
+            high = start + int(np.searchsorted(lengths[order[start:]], WIDE, side="right"))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if (middle - start) * int(lengths[order[middle - 1]]) <= BLOCK * WIDE:
+                low = middle
+            else:
+                high = middle - 1
+        yield order[start:low]
+        start = low
 
 
 @lru_cache(maxsize=1)
@@ -110,8 +168,8 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
         for b in batches:
             counts: dict[tuple[str, str], int] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for w in cut_words(letters(text)):
-                    counts[lang, w] = counts.get((lang, w), 0) + 1
+                for w in letters(text):
+                    counts[lang, MARK + w] = counts.get((lang, MARK + w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     return labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -120,8 +178,10 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
 def train(docs: DataFrame, path: str, sample=SAMPLE, rounds=ROUNDS, text_col="text", lang_col="lang") -> tuple[list[str], np.ndarray]:
     """docs: labelled rows with a doc_id, none held out. -> languages in order, pieces x languages probabilities."""
     labelled = docs.select("doc_id", F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"{len(langs)} languages; the model is made for {MAX_LANGS} at most")
     n_pieces = len(piece_table(path).pieces)
     if not langs:
         return [], np.zeros((n_pieces, 0))
@@ -141,8 +201,7 @@ def train(docs: DataFrame, path: str, sample=SAMPLE, rounds=ROUNDS, text_col="te
                     names, at = np.unique(part["word"].to_numpy(object), return_inverse=True)
                     counts = np.zeros((len(names), len(langs)))
                     np.add.at(counts, (at, part["lang"].map(column).to_numpy()), part["n"].to_numpy())
-                    keep = np.array(["\0" not in x for x in names])
-                    total += s.expected(list(names[keep]), counts[keep])
+                    total += s.expected(list(names), counts)
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"lang": lang, "piece": piece, "uses": total[piece, lang]})
 
@@ -185,13 +244,8 @@ class Scorer:
         return names, scores
 
     def learn(self, words: list[str]) -> None:
-        parts = [cut_words([w]) for w in words]
-        flat = [p for x in parts for p in x]
-        of = np.repeat(np.arange(len(words)), [len(x) for x in parts])
         first = len(self.rows)
-        self.scores[first : first + len(words)] = 0
-        for i in range(0, len(flat), BLOCK):
-            np.add.at(self.scores, first + of[i : i + BLOCK], self.segmenter.log_probs(flat[i : i + BLOCK]))
+        self.scores[first : first + len(words)] = self.segmenter.log_probs([MARK + w for w in words])
         self.rows.update((w, first + i) for i, w in enumerate(words))
 
 
