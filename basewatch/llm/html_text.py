@@ -10,12 +10,18 @@ Elements that say themselves what they are (navigation, forms, scripts; a class
 an advert, a sidebar, a notice or comments by a whole token) are taken off before. A class or id
 takes off no article element, and what holds most of the page's unlinked text only beside an
 article with a title (a form that holds so much stays too); else the densities in it count less.
-Where the heart lies in an article
-element, the text is that element's: nothing beside it is looked at. Bare text beside the way,
-with the inline elements in it, is tested like a subtree.
-
-One map over pages. Null or empty html has empty text; broken markup is read as browsers do for
-the common cases (a paragraph ends where the next block begins); a page with no text has none.
+Inside an article, words that name many things take off no paragraph, heading, list or table. Bare
+text beside the way, with the inline elements in it, is tested like a subtree. Beside the part of
+the way that lies in an article element, only pieces that are mostly links have to reach the
+threshold: titles and short paragraphs there are few characters, and belong to it all the same.
+
+One map over pages, each by itself.
+
+Defined cases: null or empty html has empty text; broken markup is read as browsers do for the
+common cases (a paragraph ends where the next block begins); a page with no text has none; of
+subtrees with equal sums the first in the page's order is the heart; repeated rows each come out; very long and very
+deep pages need time in proportion to their length (times the depth at which text lies beside the way); an empty table
+gives an empty one; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -39,6 +45,9 @@ NOISE = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|
 QUALIFIERS = frozenset("area bar block box bottom buttons center col column container content footer form global group icons inner items left links list main meta nav outer panel posts primary right row secondary section signup site slot sticky stories sub text title top unit wrap wrapper".split())
 #: Words that also name the head of an article: no noise inside one, nor around its title.
 HEADS = frozenset("banner header masthead".split())
+#: Words that name many things: they take off none of TEXTUAL inside an article.
+WEAK = frozenset("side aside foot header banner alert discussion related login search tag tags share".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li ul ol dl dt dd table tbody tr td th section b i em strong span a".split())
 #: What the density of an element counts that is noise by its class but holds most of the page's text.
 DOUBT = 0.25
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -113,6 +122,8 @@ def _is_noise(n: Node, most: float, titled: list[Node]) -> bool:
     named = _named_noise(n)
     if named and named <= HEADS:
         named = named if not (n.titled or any(p.tag in ("article", "main") for p in _up(n))) else set()
+    if n.tag in TEXTUAL and any(p.tag == "article" for p in _up(n)):
+        named -= WEAK
     if n.tag != "form" and not named:
         return False
     if n.chars - n.link_chars <= most:
@@ -240,17 +251,20 @@ def main_text(html: str | None) -> str:
     if not heart.total:
         return "\n".join(_blocks([body]))
     way = [heart, *_up(heart)]
-    article = next((n for n in reversed(way) if n.tag == "article"), None)
-    if article is not None:
-        return "\n".join(_blocks([article]))
     way = way[: way.index(body) + 1]
     threshold = min(n.density for n in way)
-    chosen = [heart]
-    for below, n in zip(way, way[1:]):
-        at = next(i for i, k in enumerate(n.kids) if k is below)
-        before, after = ([k for k in _pieces(kids, share) if k.density * (DOUBT if k.doubt else 1.0) >= threshold] for kids in (n.kids[:at], n.kids[at + 1 :]))
-        chosen = [*before, *chosen, *after]
-    return "\n".join(_blocks(chosen))
+    inner = max((i for i, n in enumerate(way) if n.tag == "article"), default=-1)  # the way up to here lies in an article
+
+    def belongs(k: Node, in_article: bool) -> bool:
+        return in_article and 2 * k.link_chars <= k.chars or k.density * (DOUBT if k.doubt else 1.0) >= threshold
+
+    first: list[list[Node]] = []
+    last: list[Node] = []
+    for i, (below, n) in enumerate(zip(way, way[1:]), 1):
+        at = next(j for j, k in enumerate(n.kids) if k is below)
+        first.append([k for k in _pieces(n.kids[:at], share) if belongs(k, i <= inner)])
+        last += [k for k in _pieces(n.kids[at + 1 :], share) if belongs(k, i <= inner)]
+    return "\n".join(_blocks([*[k for part in reversed(first) for k in part], heart, *last]))
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
