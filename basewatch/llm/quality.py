@@ -2,20 +2,29 @@
 
 Every text gets counts of words, symbols, repeated lines and repeated three-word windows, all by
 functions on its own row. Plain rules reject very short and very repetitive texts. The others
-become vectors of transformed statistics, and each language and source has a centre and a spread
-of its own: the minimum covariance determinant estimate, that of the half of its rows whose
-covariance has the smallest determinant. A text whose Mahalanobis distance from its group's
-centre lies beyond the cutoff is rejected.
+become vectors of transformed statistics - those counts, and what varies in any ordinary text: the
+mean and the spread of word lengths, the share of distinct words, punctuation - and each language
+and source has a centre and a covariance of its own: the minimum covariance determinant estimate,
+that of the half of its rows whose covariance has the smallest determinant. A text whose Mahalanobis
+distance from its group's centre lies beyond the cutoff is rejected.
 
 The estimate is searched by concentration steps from two starts (median and mean deviation; mean
-and covariance). A step measures all rows, adds up each group's moments in bins of distance - one
-pass with partial sums, so that a group's size doesn't matter - and takes the bins that hold the
-nearest half. The spread is then scaled to make the median distance that of a normal law. A group
-of under `min_group` rows uses its language's estimate, or else that of all rows.
+and covariance), at most `STEPS` of them, until no group's determinant falls any more. A step measures all rows, adds up
+each group's moments in bins of distance - one pass with partial sums, so that a group's size
+doesn't matter - and takes the bins that hold the nearest half. The covariance is then scaled to
+make the median distance that of a normal law. Every group, however small, has its estimate;
+centre and covariance are drawn towards those of its language, and these towards those of all
+rows, with the weight of `PRIOR` rows.
+
+A row meets its group's estimate by a broadcast while there are at most `BROADCAST` groups, whose
+number is counted first; beyond that by a join on group and salt, each estimate copied to each
+salt, so that a hot group never is in one task.
 
 Defined cases: null or empty text fails the base rules (no words); null language or source is a
-group of its own; a statistic that is the same in all rows has `FLOOR` as its least variance; a
-repeated row is judged alike each time; an empty table gives an empty result.
+group of its own; a statistic that is the same in all rows has `FLOOR` as its variance; a
+repeated row is judged alike each time; a very long text is one row of a task, and time grows with
+its length; an empty table gives an empty result; other columns, whatever their names, are carried
+or left alone.
 """
 
 from __future__ import annotations
@@ -26,14 +35,19 @@ from pyspark.sql import Window
 
 from basewatch.llm.common import WORD, cut, let, packed, unpacked
 
-MIN_WORDS, MIN_GROUP, STEPS = 50, 100, 4
-#: Of the squared distance; chi-squared with four degrees of freedom leaves 1e-8 beyond 43.
-CUTOFF = 60.0
-#: Median of chi-squared with four degrees of freedom.
-MEDIAN_D2 = 3.357
-#: Least variance of each transformed statistic: about what one symbol, repeated line or repeated window makes in a text of a hundred words.
-FLOOR = (0.004, 0.004, 0.012, 0.008)
-DIM = 4
+MIN_WORDS, STEPS = 50, 6
+#: Of the squared distance. A normal law leaves 1e-8 beyond 52; the statistics of texts of fifty words have tails about twice as long.
+CUTOFF = 150.0
+#: Median of chi-squared with as many degrees of freedom as there are statistics.
+MEDIAN_D2 = 6.346
+#: Added to each statistic's variance: against a singular covariance, and for counts that most ordinary texts have none of about what one symbol, repeated line or repeated window makes in a text of a hundred words.
+FLOOR = (1e-4, 0.004, 0.012, 0.008, 1e-4, 1e-5, 1e-4)
+DIM = len(FLOOR)
+PRIOR, BROADCAST, SALTS = 50, 20_000, 64
+#: Of a determinant's logarithm: a step that brings less ends the search.
+LEAST_FALL = 0.01
+#: Longer words count as so long: one address says nothing of a text's words.
+LONG_WORD = 20
 _BINS_PER_OCTAVE = 8
 
 
@@ -67,7 +81,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def counts(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_distinct, n_marks, mean_length, spread (mean deviation of lengths)."""
     text = F.coalesce(text, F.lit(""))
 
     def of(words: Column) -> Column:
@@ -78,8 +92,16 @@ def counts(text: Column) -> Column:
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
+            F.regexp_count(text, F.lit("[.,;:!?]")).cast("long").alias("n_marks"),
+            let(F.transform(words, lambda w: F.least(F.length(w), F.lit(LONG_WORD))), lengths).alias("lengths"),
         )
 
+    def lengths(x: Column) -> Column:
+        n = F.greatest(F.size(x), F.lit(1)).cast("double")
+        mean = F.aggregate(x, F.lit(0), lambda a, v: a + v) / n
+        return let(mean, lambda m: F.struct(m.alias("mean"), (F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v - m)) / n).alias("spread")))
+
     return let(F.regexp_extract_all(text, F.lit(WORD), 0), of)
 
 
@@ -88,48 +110,57 @@ def base_failed(c: Column) -> Column:
 
 
 def vector(c: Column) -> list[Column]:
-    n = F.greatest(c["n_words"], F.lit(1)).cast("double")
-    return [F.ln(F.greatest(c["word_chars"], F.lit(1)) / n), F.sqrt(c["n_symbols"] / n), F.sqrt(10 * c["n_dup_lines"] / n), F.sqrt(c["n_repeat_words"] / n)]
+    n = F.greatest(c["n_words"], F.lit(2)).cast("double")
+    return [
+        F.ln(F.greatest(c["lengths"]["mean"], F.lit(1.0))), F.sqrt(c["n_symbols"] / n), F.sqrt(10 * c["n_dup_lines"] / n), F.sqrt(c["n_repeat_words"] / n),
+        F.ln(c["lengths"]["spread"] + 0.1), F.ln(F.greatest(c["n_distinct"], F.lit(1)).cast("double")) / F.ln(n), F.sqrt(c["n_marks"] / n),
+    ]
 
 
 _X = [f"x{i}" for i in range(DIM)]
 _MU = [f"mu{i}" for i in range(DIM)]
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
-_L = [f"l{i}{j}" for i, j in _PAIRS]
-
-
-def _factored(means: DataFrame, cov: str = "c") -> DataFrame:
-    """Columns c{i}{j} -> l{i}{j}, the Cholesky factor of the covariance with FLOOR added to its diagonal, and ln_det."""
+_C = [f"c{i}{j}" for i, j in _PAIRS]
+#: The inverse of the covariance's Cholesky factor: squared distances are sums of squares of its rows' products.
+_V = [f"v{i}{j}" for i, j in _PAIRS]
+
+
+def _factored(means: DataFrame, *others: str) -> DataFrame:
+    """Columns c{i}{j} -> v{i}{j}, of the covariance with FLOOR added to its diagonal, and ln_det; MU, C and others are kept."""
+    total = lambda terms: " + ".join(terms) or "0D"
+    out = []
+    for i, j in _PAIRS:  # row by row, each entry from those before it
+        rest = f"c{i}{j} - (" + total([f"l{i}{k} * l{j}{k}" for k in range(j)]) + ")"
+        out.append(f"sqrt(greatest({rest}, 0D) + {FLOOR[i]!r}D) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
     for i, j in _PAIRS:
-        rest = F.col(f"{cov}{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        means = means.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + F.lit(FLOOR[i])) if i == j else rest / F.col(f"l{j}{j}"))
-    det = sum((2 * F.ln(F.col(f"l{i}{i}")) for i in range(DIM)), F.lit(0.0))
-    return means.withColumn("ln_det", det)
+        out.append(f"1 / l{i}{i} AS v{i}{j}" if i == j else f"-({total([f'l{i}{k} * v{k}{j}' for k in range(j, i)])}) / l{i}{i} AS v{i}{j}")
+    det = total([f"2 * ln(l{i}{i})" for i in range(DIM)]) + " AS ln_det"
+    return means.selectExpr(*others, *_MU, *_C, *out, det).select(*others, *_MU, *_C, *_V, "ln_det")
 
 
 def _d2() -> Column:
-    """Squared Mahalanobis distance: forward substitution with the factor."""
-    y: list[Column] = []
-    for i in range(DIM):
-        r = F.col(_X[i]) - F.col(_MU[i])
-        for k in range(i):
-            r = r - F.col(f"l{i}{k}") * y[k]
-        y.append(r / F.col(f"l{i}{i}"))
-    return sum((v * v for v in y), F.lit(0.0))
+    """Squared Mahalanobis distance."""
+    rows = [" + ".join(f"v{i}{j} * ({_X[j]} - {_MU[j]})" for j in range(i + 1)) for i in range(DIM)]
+    return F.expr(" + ".join(f"power({r}, 2)" for r in rows))
 
 
 def _moments() -> list[Column]:
-    x = [F.col(c) for c in _X]
-    return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(DIM)], *[F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS]]
+    sums = [f"sum({_X[i]}) AS s{i}" for i in range(DIM)] + [f"sum({_X[i]} * {_X[j]}) AS p{i}{j}" for i, j in _PAIRS]
+    return [F.expr(x) for x in ("count(*) AS n", *sums)]
 
 
 def _covariance(m: DataFrame, *keys: str) -> DataFrame:
-    """Moments -> centre, factor, ln_det."""
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(DIM)]
-    c = m.select(*keys, "n", *[mean[i].alias(_MU[i]) for i in range(DIM)], *[(F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
-    return _factored(c).select(*keys, "n", *_MU, *_L, "ln_det")
+    """Moments -> centre, covariance, inverse factor, ln_det."""
+    mean, cov = [f"s{i} / n AS {_MU[i]}" for i in range(DIM)], [f"p{i}{j} / n - s{i} * s{j} / (n * n) AS c{i}{j}" for i, j in _PAIRS]
+    return _factored(m.selectExpr(*keys, *mean, *cov), *keys)
+
+
+def _beside(rows: DataFrame, estimates: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+    """Rows with their group's estimates."""
+    if n_groups <= BROADCAST:
+        return rows.join(F.broadcast(estimates), "group", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*_X), F.lit(SALTS)).cast("int"))
+    return salted.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["group", "salt"], how).drop("salt")
 
 
 def _binned(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,7 +174,7 @@ def _binned(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _concentrated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One step: rows joined with estimates -> estimates of the nearest half."""
     half = _binned(rows, keys).filter("2 * nearer < all")
-    sums = half.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in [f"s{i}" for i in range(DIM)] + [f"p{i}{j}" for i, j in _PAIRS]])
+    sums = half.groupBy(*keys).agg(*[F.expr(f"sum({c}) AS {c}") for c in ["n"] + [f"s{i}" for i in range(DIM)] + [f"p{i}{j}" for i, j in _PAIRS]])
     return _covariance(sums, *keys)
 
 
@@ -152,51 +183,62 @@ def _group(level: int) -> Column:
     return F.concat(F.lit(f"{level}:"), F.to_json(F.struct(*[F.col(c) for c in ("lang", "source")[: 2 - level]]))) if level < 2 else F.lit("2:")
 
 
-def estimates(stats: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """stats(lang, source, x0..x3) -> for each group: group, mu*, l* scaled, n."""
-    rows = stats.select(F.explode(F.array(*[_group(k) for k in range(3)])).alias("group"), *_X)
-    sizes = rows.groupBy("group").agg(F.count("*").alias("rows"))
-    rows = rows.join(sizes.filter(F.col("rows") >= F.when(F.col("group") == "2:", 1).otherwise(min_group)).select("group"), "group", "left_semi")
-    rows = cut(rows, "vectors")
-    mean = _covariance(rows.groupBy("group").agg(*_moments()), "group").withColumn("start", F.lit(0))
-    middle = rows.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile_approx(F.col(x), 0.5, 2000).alias(m) for x, m in zip(_X, _MU, strict=True)])
-    away = rows.join(middle, "group").groupBy("group").agg(F.first("n").alias("n"), *[F.first(m).alias(m) for m in _MU], *[F.avg(F.abs(F.col(_X[i]) - F.col(_MU[i]))).alias(f"a{i}") for i in range(DIM)])
-    spread = away.select("group", "n", *_MU, *[(1.57 * F.col(f"a{i}") * F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS])
-    median = _factored(spread).select("group", "n", *_MU, *_L, "ln_det").withColumn("start", F.lit(1))
-    now = cut(mean.unionByName(median), "estimates")
+def estimates(stats: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int]:
+    """stats(lang, source, x0..) -> for each language and source: group, rows, mu*, v*; and how many groups there are."""
+    levels = [F.struct(_group(k).alias("group"), (_group(k + 1) if k < 2 else F.lit(None).cast("string")).alias("parent")) for k in range(3)]
+    rows = cut(stats.select(F.explode(F.array(*levels)).alias("g"), *_X).select("g.group", "g.parent", *_X), "vectors")
+    middle = rows.groupBy("group", "parent").agg(F.count("*").alias("rows"), *[F.percentile_approx(F.col(x), 0.5, 2000).alias(m) for x, m in zip(_X, _MU, strict=True)], *_moments())
+    middle = cut(middle, "middles")
+    n_groups = middle.count()
+    away = _beside(rows, middle.select("group", *_MU), n_groups).groupBy("group").agg(*[F.expr(f"first({m}) AS {m}") for m in _MU], *[F.expr(f"avg(abs({x} - {m})) AS a{i}") for i, (x, m) in enumerate(zip(_X, _MU, strict=True))])
+    spread = away.selectExpr("group", *_MU, *[f"1.57D * a{i} * a{i} AS c{i}{i}" if i == j else f"0D AS c{i}{j}" for i, j in _PAIRS])
+    median = _factored(spread, "group").withColumn("start", F.lit(1))
+    now = cut(_covariance(middle.drop(*_MU), "group").withColumn("start", F.lit(0)).unionByName(median), "estimates")
     for step in range(steps):
-        now = _concentrated(rows.join(now.drop("n", "ln_det"), "group"), ["group", "start"])
+        after = _concentrated(_beside(rows, now.drop("ln_det", *_C), n_groups), ["group", "start"])
         if step == 1:  # the better start goes on alone
             best = Window.partitionBy("group").orderBy("ln_det", "start")
-            now = now.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
-        now = cut(now, "estimates")
+            after = after.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
+        if step > 1:  # a determinant that doesn't fall ends its group's search: the estimate before stays
+            old = now.select("group", F.struct(*[c for c in now.columns if c != "group"]).alias("old"))
+            new = after.select("group", F.struct(*[c for c in now.columns if c != "group"]).alias("new"))
+            falls = F.col("new.ln_det") < F.col("old.ln_det") - LEAST_FALL
+            after = cut(old.join(new, "group").select("group", falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e")), "estimates")
+            now = after.select("group", "e.*")
+            if after.filter("falls").limit(1).count() == 0:
+                break
+        else:
+            now = cut(after, "estimates")
     # scaled to the median distance that normal data have
-    middle = _binned(rows.join(now.drop("n", "ln_det"), "group"), ["group"]).filter("2 * nearer < all").groupBy("group").agg(F.max("bin").alias("bin"), F.max("all").alias("rows"))
-    scale = F.sqrt(F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / _BINS_PER_OCTAVE) / MEDIAN_D2, F.lit(1.0)))
-    return cut(now.join(middle, "group").select("group", "rows", *_MU, *[(F.col(c) * scale).alias(c) for c in _L]), "estimates")
-
-
-def _judged(rows: DataFrame, min_group: int, steps: int) -> DataFrame:
-    """rows(c, lang, source, ...) -> with base_failed, d2, kept. Estimates are one row for each group; Spark broadcasts them if they are small."""
+    half = _binned(_beside(rows, now.select("group", *_MU, *_V), n_groups), ["group"]).filter("2 * nearer < all").groupBy("group").agg(F.max("bin").alias("bin"))
+    scale = F.pow(F.lit(2.0), (F.col("bin") + 0.5) / _BINS_PER_OCTAVE) / MEDIAN_D2
+    own = now.join(half, "group").join(middle.select("group", "parent", "rows"), "group")
+    own = own.withColumn("scale", scale)
+    own = cut(own.selectExpr("group", "parent", "rows", *_MU, *[f"{c} * scale AS {c}" for c in _C]), "estimates")
+    drawn = own.filter("parent IS NULL")
+    for level in (1, 0):
+        above = drawn.selectExpr("group AS parent", *[f"{c} AS up_{c}" for c in (*_MU, *_C)])
+        below = own.filter(F.col("group").startswith(f"{level}:")).join(above, "parent")
+        drawn = below.selectExpr("group", "parent", "rows", *[f"(rows * {c} + {PRIOR}D * up_{c}) / (rows + {PRIOR}D) AS {c}" for c in (*_MU, *_C)])
+    return cut(_factored(drawn, "group", "rows").select("group", "rows", *_MU, *_V), "estimates"), n_groups
+
+
+def _judged(rows: DataFrame, steps: int) -> DataFrame:
+    """rows(c, lang, source, ...) -> with base_failed, d2, kept."""
     rows = rows.withColumn("base_failed", base_failed(F.col("c")))
-    named = rows.select("*", *[v.alias(x) for v, x in zip(vector(F.col("c")), _X, strict=True)])
-    e = estimates(named.filter(~F.col("base_failed")), min_group, steps)
-    # the first of a row's three groups that has an estimate
-    known = [e.select(F.col("group").alias(f"g{k}")) for k in range(2)]
-    for k in range(2):
-        named = named.withColumn(f"own{k}", _group(k)).join(known[k], F.col(f"own{k}") == F.col(f"g{k}"), "left")
-    named = named.withColumn("group", F.coalesce("g0", "g1", F.lit("2:")))
-    out = named.join(e, "group", "left").withColumn("d2", _d2())
+    named = rows.select("*", _group(0).alias("group"), *[v.alias(x) for v, x in zip(vector(F.col("c")), _X, strict=True)])
+    e, n_groups = estimates(named.filter(~F.col("base_failed")), steps)
+    out = _beside(named, e, n_groups, "left").withColumn("d2", _d2())
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
 
 
-def quality(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", min_group=MIN_GROUP, steps=STEPS) -> DataFrame:
+def quality(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", steps=STEPS) -> DataFrame:
     """docs -> doc_id, the counts, base_failed, d2, kept."""
     stats = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counts(F.col(text_col)).alias("c")), "counts")
-    return _judged(stats, min_group, steps).select("doc_id", "c.*", "base_failed", "d2", "kept")
+    return _judged(stats, steps).select("doc_id", *[f"c.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "d2", "kept")
 
 
-def passed(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", min_group=MIN_GROUP, steps=STEPS) -> DataFrame:
+def passed(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", steps=STEPS) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     rows = cut(packed(docs, c=counts(F.col(text_col)), lang=F.col(lang_col), source=F.col(source_col)), "counted")
-    return unpacked(_judged(rows, min_group, steps).filter("kept"))
+    return unpacked(_judged(rows, steps).filter("kept"))
