@@ -1,25 +1,33 @@
 """Exact dedup as a stateful stream.
 
-Documents arrive as a file stream. The state, kept in RocksDB on the executors' disks with its
-changes in the shared folder, has one entry for each digest ever seen, and no watermark: nothing
-expires. An entry retains the digest, the stable identifier (the smallest doc_id so far) and the
-locator of that row's content (file and row number), and counts the rows. A digest alone decides
-nothing: each row whose digest another row has is read again by its locator, and its full bytes
-are held against those of the row that stays. Rows that differ in spite of equal digests are
-grouped again by their whole texts.
-
-A hot group's rows are compared in salted parts, with the one row that stays copied to each part.
+Two streams run one after the other, both from a state folder that the caller may name and use
+again. The first digests arriving files: doc_id, locator (file and row number) and digest of each
+row. The second keeps the state, in RocksDB on the executors' disks with its changes in the state
+folder: one entry for each digest ever seen, and no watermark, so that nothing expires. An entry
+retains the digest, the stable identifier (the smallest doc_id so far) and the locator of that row's
+content, and counts the rows. A second run with the same folder takes up only files that are new and
+meets the entries of all earlier ones, also after a restart.
+
+A digest alone decides nothing: each row whose digest another row has, of this run or an earlier
+one, is read again by its locator, and its full bytes are held against those of the row that stays.
+Only such rows' texts are fetched. Rows that differ in spite of equal digests are grouped again by
+their whole texts. A hot group's rows are compared in salted parts, with the one row that stays
+copied to each part.
 
 Texts are equal when identical after each run of ASCII white space became one space. Defined
 cases: null counts as empty text; a null doc_id sorts after all others; of rows with the same
-smallest doc_id the one whose locator comes first stays; an empty table gives an empty result;
-other columns, whatever their names, are carried or left alone.
+smallest doc_id the one whose locator comes first stays; repeated rows are copies of each other; a
+very long text is one row of a task; an empty table gives an empty result; other columns, whatever
+their names, are carried or left alone.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,55 +54,65 @@ def _locator() -> Column:
     return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
 
 
-def land(docs: DataFrame) -> str:
-    """Files of docs for a stream to arrive from, in the shared folder."""
-    path = scratch(docs.sparkSession, "arrivals")
-    docs.write.parquet(path)
-    return path
+def _pattern(path: str) -> str:
+    """A pattern that matches just this path, file or folder: a plain path given to a stream has to be a folder."""
+    path = re.sub(r"([\[\]{}*?\\])", r"\\\1", path.rstrip("/"))
+    return path if path.endswith("\\*") or path[-2:-1] == "\\" else f"{path[:-1]}[{path[-1]}]"
+
+
+def _digested(spark: SparkSession, source: str, state: str, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> str:
+    """Digest files that are new under the pattern source: state/digested has doc_id, locator, digest, text_sha256 of every row ever seen."""
+    schema, out = spark.read.parquet(source).schema, f"{state}/digested"
+    rows = spark.readStream.schema(schema).parquet(source).select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
+    rows = rows.select("doc_id", "locator", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("text_sha256"))
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{state}/digesting").trigger(availableNow=True).start(out).awaitTermination()
+    return out
 
 
-def digest_state(spark: SparkSession, path: str, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
-    """Stream all files under path through the state -> digest, kept (struct: doc_id and locator of the row that stays), n."""
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema)
+def digest_state(spark: SparkSession, path: str, state: str, kind: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream digested rows that are new under path through the state -> digest, kept (struct: doc_id and locator of the row that stays), n."""
+    source = spark.readStream.schema(f"doc_id {kind}, locator string, digest string, text_sha256 string")
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
-    # a pattern matches a single file as well as a folder; a plain path has to be a folder
-    rows = source.parquet(f"{path[:-1]}[{path[-1]}]").select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
     kept = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "locator")
-    state = rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min(kept).alias("kept"), F.count("*").alias("n"))
-    out, work = scratch(spark, "digests"), scratch(spark, "dedup-stream")
+    entries = source.parquet(path).groupBy("digest").agg(F.min(kept).alias("kept"), F.count("*").alias("n"))
+    out = f"{state}/entries"
     before = {k: spark.conf.get(k, None) for k in _STORE}
     for k, v in _STORE.items():
         spark.conf.set(k, v)
     try:
         # entries that a batch changed, under the batch's number: run again after a failure, it replaces its own
-        query = state.writeStream.outputMode("update").option("checkpointLocation", work).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n:08d}")).start()
-        query.awaitTermination()
+        write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n:08d}")
+        entries.writeStream.outputMode("update").option("checkpointLocation", f"{state}/stream").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if query.lastProgress is None or not query.recentProgress or all(p["numInputRows"] == 0 for p in query.recentProgress):
-        return spark.createDataFrame([], _state_schema(schema, id_col))
-    seen = spark.read.schema(_state_schema(schema, id_col) + ", batch int").parquet(out)
-    latest = seen.groupBy("digest").agg(F.max_by("kept", "batch").alias("kept"), F.max("n").alias("n"))
-    return latest if len(query.recentProgress) > 1 else seen.drop("batch")
-
-
-def _state_schema(schema, id_col: str) -> str:
-    return f"digest string, kept struct<late: boolean, doc_id: {schema[id_col].dataType.simpleString()}, locator: string>, n long"
-
-
-def groups(spark: SparkSession, path: str, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row for each row under path: locator, doc_id, text_sha256, keep_id, group_size, kept."""
-    state = digest_state(spark, path, id_col, text_col, digest, files_per_batch)
-    texts = spark.read.parquet(path).select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
-    narrow = texts.select("doc_id", "locator", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("text_sha256"))
-    rows = cut(narrow.join(state, "digest"), "digested")
+    shape = f"digest string, kept struct<late: boolean, doc_id: {kind}, locator: string>, n long, batch int"
+    try:
+        batches = spark.read.parquet(out).select("batch").distinct().limit(2).count()
+    except AnalysisException:  # no batch has ever been written
+        return spark.createDataFrame([], shape).drop("batch")
+    seen = spark.read.schema(shape).parquet(out)
+    return seen.drop("batch") if batches < 2 else seen.groupBy("digest").agg(F.max_by("kept", "batch").alias("kept"), F.max("n").alias("n"))
+
+
+def groups(spark: SparkSession, path: str, id_col="doc_id", text_col="text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state: str | None = None, pattern: str | None = None) -> DataFrame:
+    """One row for each row under path: locator, doc_id, text_sha256, keep_id, keep_locator, group_size, kept.
+
+    state: folder of an earlier call over the same path, which then only takes up what is new."""
+    pattern, state = pattern or _pattern(path), state or scratch(spark, "dedup-state")
+    there = spark.read.parquet(pattern)
+    kind = there.schema[id_col].dataType.simpleString()
+    digested = _digested(spark, pattern, state, id_col, text_col, digest)
+    entries = digest_state(spark, digested, state, kind, files_per_batch)
+    texts = there.select(normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
+    narrow = spark.read.schema(f"doc_id {kind}, locator string, digest string, text_sha256 string").parquet(digested)
+    rows = cut(narrow.join(entries, "digest"), "digested")
 
     # full bytes, for every row that shares its digest: fetched by locator
-    several = rows.filter("n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    fetched = several.join(texts.select("locator", "text"), "locator")
+    several = rows.filter("n > 1").select("doc_id", "locator", "digest", "kept", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    # written, so that Spark knows its size: while that is small no other row's text is shuffled
+    fetched = texts.join(cut(several, "shared-digests"), "locator")
     stays = F.col("locator") == F.col("kept.locator")
     heads = fetched.filter(stays).select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("head"))
     hits = fetched.filter(~stays).withColumn("part", F.pmod(F.xxhash64("locator"), F.col("parts")).cast("int"))
@@ -108,14 +126,21 @@ def groups(spark: SparkSession, path: str, id_col="doc_id", text_col="text", dig
     out = rows.join(moved, "locator", "left").join(lost, "digest", "left")
     kept = F.coalesce("kept2", "kept")
     size = F.coalesce("n2", F.col("n") - F.coalesce("n_apart", F.lit(0)))
-    return out.select("locator", "doc_id", kept["doc_id"].alias("keep_id"), size.alias("group_size"), (F.col("locator") == kept["locator"]).alias("kept"), "text_sha256")
+    return out.select("locator", "doc_id", kept["doc_id"].alias("keep_id"), kept["locator"].alias("keep_locator"), size.alias("group_size"), (F.col("locator") == kept["locator"]).alias("kept"), "text_sha256")
+
 
+def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", state: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
 
-def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    spark, path = docs.sparkSession, land(docs)
-    stay = groups(spark, path, id_col, text_col).filter("kept").select(F.col("locator").alias("_at"))
-    there = spark.read.parquet(path)
+    state: folder of earlier calls in the shared folder; rows equal to any row of an earlier call go too."""
+    spark, state = docs.sparkSession, state or scratch(docs.sparkSession, "dedup-state")
+    new = uuid.uuid4().hex
+    docs.write.parquet(f"{state}/arrivals/{new}")
+    found = groups(spark, "", id_col, text_col, state=state, pattern=f"{state}/arrivals/*")
+    is_new = F.col("locator").contains(f"/arrivals/{new}/")
+    earlier = found.filter(~is_new).select(F.col("keep_locator").alias("_earlier")).distinct()
+    stay = found.filter(is_new & F.col("kept")).join(earlier, F.col("keep_locator") == F.col("_earlier"), "left_anti").select(F.col("locator").alias("_at"))
+    there = spark.read.schema(docs.schema).parquet(f"{state}/arrivals/{new}")
     rows = packed(there, _locator=_locator())
     return unpacked(rows.join(stay, F.col("_locator") == F.col("_at"), "left_semi"))
 

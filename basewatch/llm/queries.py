@@ -33,7 +33,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.groups(spark, f"{sf_dir}/documents.parquet").drop("locator")
+    return exact_dedup.groups(spark, f"{sf_dir}/documents.parquet").drop("locator", "keep_locator")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

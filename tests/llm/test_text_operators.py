@@ -140,11 +140,27 @@ def test_exact_dedup_survives_digest_collisions_and_batches(spark, odd, tmp_path
         assert len(got) == 42 and sum(r.kept for r in got) == 7
         assert all(r.keep_id == r.doc_id % 7 for r in got if r.doc_id is not None)
         assert {r.group_size for r in got if r.keep_id == 0} == {7} and {r.group_size for r in got if r.keep_id == 3} == {7}
+    assert exact_dedup._pattern("/a/b*/c[1]") == "/a/b\\*/c\\[1\\]" and exact_dedup._pattern("file:/a/t.parquet/") == "file:/a/t.parque[t]"
     assert exact_dedup.deduplicated(odd).columns == odd.columns
     assert exact_dedup.deduplicated(odd).count() == 7
     assert exact_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_exact_dedup_meets_the_state_of_earlier_runs(spark, tmp_path):
+    state, schema = f"file://{tmp_path}/state", "doc_id long, text string"
+    first = spark.createDataFrame([(5, "a  b"), (6, "c"), (7, "c")], schema)
+    second = spark.createDataFrame([(1, "a b"), (8, "d"), (9, "d\t"), (10, "d ")], schema)
+    assert sorted(r.doc_id for r in exact_dedup.deduplicated(first, state=state).collect()) == [5, 6]
+    # a new stream over the old folder: 1 and 9 are copies of what came before or comes now
+    assert sorted(r.doc_id for r in exact_dedup.deduplicated(second, state=state).collect()) == [8, 9]
+    assert [r.doc_id for r in exact_dedup.deduplicated(second.limit(1), state=state).collect()] == []
+    path = f"file://{tmp_path}/t"
+    for i, rows in enumerate(([(3, "x")], [(2, "x"), (4, "y")])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.groups(spark, path, state=f"file://{tmp_path}/s2").collect()}
+    assert got == {2: (2, 2), 3: (2, 2), 4: (4, 1)}
+
+
 def test_main_text():
     page = "<html><body><header>Site</header><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>Title &amp; more</h1><p><b>One  two<br><p>three&eacute; <a href=y>four</a></article><div id='comments'><p>me too</p></div><footer>c</footer></body></html>"
     assert html_text.main_text(page) == "Title & more\nOne two\nthreeé four"
@@ -210,6 +226,8 @@ def test_language(spark, docs, odd):
     assert {r.doc_id for r in held} == {i for i, g in got.items() if g.held_out}
     right = [got[r.doc_id].lang_pred == r.lang for r in held if got[r.doc_id].lang_pred != "und"]
     assert sum(right) >= 0.97 * len(right)
+    runs = spark.createDataFrame([(i, "\u13a0\u13b1\u1401\u0f40" * 125 if i % 5 == 0 else f"the words of text {i} with it", "en" if i % 2 else "de") for i in range(40)] + [(99, "hello world of the text", None), (100, "\ua000" * 3000, None)], "doc_id long, text string, lang string")
+    assert all(0 < r.score <= 1 for r in langid.identify(runs, vocabulary("piece_bpe_32k.model")).collect())
     und = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, vocabulary("piece_bpe_32k.model")).collect()}
     assert und[1] == und[2] == und[7] == ("und", 0.0) and len(und) == 9
     assert langid.identify(odd.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
@@ -227,6 +245,23 @@ def test_forward_sums_all_segmentations():
     words = ["▁there", "▁antion", "▁de"]
     assert np.allclose(np.exp(s.log_probs(words))[:, 0], [total(w) for w in words])
 
+    def plain(w):  # the same sum by a plain loop, in logarithms
+        a = [0.0]
+        for d in range(1, len(w) + 1):
+            terms = [a[d - k] + np.log(probs[index[w[d - k : d]], 0]) for k in range(1, min(d, 32) + 1) if w[d - k : d] in index]
+            terms += [] if w[d - 1] in index else [a[d - 1] + np.log(s.unknown)]
+            a.append(np.logaddexp.reduce(terms))
+        return a[-1]
+
+    words += ["▁" + "ᎠᏱᐁཀ" * 125, "▁" + "donaudampfschifffahrtsgesellschaft" * 3, "▁" + "ᎠᏱ" * 15, "▁x"]
+    assert np.allclose(s.log_probs(words)[:, 0], [plain(w) for w in words])
+    counts = np.arange(1.0, len(words) + 1)[:, None]
+    uses = s.expected(words, counts)
+    assert np.isfinite(uses).all() and uses[index["▁x"], 0] > 0
+    # expected uses, weighted by piece length, make up all characters that pieces cover
+    covered = sum(counts[i, 0] * sum(c in index for c in w) for i, w in enumerate(words))
+    assert np.isclose(sum(uses[i, 0] * len(p) for p, i in index.items()), covered)
+
 
 def plain_spans(t):
     def luhn(d):
