@@ -278,7 +278,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     marks = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first_id", "text_key", "n_shingles", *_SKETCH), "sketches")
     text = F.col(text_col).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    texts = cut(texts.join(marks.select("node", "first_id", "text_key"), ["first_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    # narrow and written, so that Spark knows how small it is: as long as it may be broadcast, no text is shuffled to be found
+    wanted = cut(marks.select("node", "first_id", "text_key"), "wanted")
+    texts = cut(texts.join(wanted, ["first_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     marks = marks.drop("first_id", "text_key")
 
     def stars(rows: DataFrame) -> DataFrame:
