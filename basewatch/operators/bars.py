@@ -47,11 +47,12 @@ def issues(bars: DataFrame) -> DataFrame:
     """One row for each bar and issue that quarantines it; bars are never repaired. bars may have nulls and any order of dates within pos."""
     seen = Window.partitionBy("symbol").orderBy("pos")
     before = F.lag("bar_date").over(seen)
+    same_date = F.row_number().over(Window.partitionBy("symbol", "bar_date").orderBy("pos"))
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     any_of = lambda test: F.coalesce(sum((F.coalesce(test(p), F.lit(False)).cast("int") for p in prices), F.lit(0)) > 0, F.lit(False))
     named = {
         "invalid_date": F.col("bar_date").isNull(),
-        "duplicate_date": F.col("bar_date") == before,
+        "duplicate_date": F.col("bar_date").isNotNull() & (same_date > 1),
         "non_chronological": F.col("bar_date") < before,
         "invalid_field": any_of(lambda p: p.isNull() | F.isnan(p)),
         "nonpositive": any_of(lambda p: p <= 0),
@@ -63,21 +64,28 @@ def issues(bars: DataFrame) -> DataFrame:
 
 
 def heuristics(bars: DataFrame) -> DataFrame:
-    """Extreme wicks (half the body reference and six times the median range of up to 24 bars before, at least 12) and fourfold jumps."""
-    trail = by_time().rowsBetween(-24, -1)
-    body = (F.abs("open") + F.abs("close")) / 2
-    rows = bars.withColumns({"body": body, "range": (F.col("high") - F.col("low")) / body, "before": F.lag("close").over(by_time())})
+    """Extreme wicks (the longer one half the body reference and six times the median range of up to 24 bars before, at least 12) and fourfold jumps.
+
+    In the order of pos, or by date where bars have no pos; ranges are in body references as well."""
+    seen = Window.partitionBy("symbol").orderBy("pos" if "pos" in bars.columns else "bar_date")
+    trail = seen.rowsBetween(-24, -1)
+    body = F.nullif((F.abs("open") + F.abs("close")) / 2, F.lit(0.0))
+    longer = F.greatest(F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low"), F.lit(0.0)) / body
+    range_ = (F.col("high") - F.col("low")) / body
+    before = F.lag("close").over(seen)
+    rows = bars.withColumns({"body": body, "wick": longer, "range": F.when(range_ >= 0, range_), "before": F.when(before > 0, before)})
     rows = rows.withColumn("trail", F.sort_array(F.collect_list("range").over(trail)))
     n = F.size("trail")
     middle = (F.try_element_at("trail", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("trail", F.floor((n + 2) / 2).cast("int"))) / 2
-    wick = F.when(n >= 12, (F.col("range") >= 0.5) & (F.col("range") >= 6 * middle)).otherwise(False)
+    wick = F.when(n >= 12, (F.col("wick") >= 0.5) & (F.col("wick") >= 6 * middle)).otherwise(False)
     ratio = F.greatest(F.col("body") / F.col("before"), F.col("before") / F.col("body"))
-    return rows.select("symbol", "bar_date", wick.alias("extreme_wick"), F.coalesce(ratio >= 4, F.lit(False)).alias("discontinuity"))
+    return rows.select("symbol", "bar_date", F.coalesce(wick, F.lit(False)).alias("extreme_wick"), F.coalesce(ratio >= 4, F.lit(False)).alias("discontinuity"))
 
 
 def data_quality(bars: DataFrame) -> DataFrame:
+    """One row for each symbol. Bars may have a pos, the order in which they came; else they are in order of their dates."""
     flags = heuristics(bars).groupBy("symbol").agg(F.sum(F.col("extreme_wick").cast("long")).alias("wicks"), F.sum(F.col("discontinuity").cast("long")).alias("jumps"))
-    numbered = bars.withColumn("pos", F.row_number().over(by_time()))
+    numbered = bars if "pos" in bars.columns else bars.withColumn("pos", F.row_number().over(by_time()))
     hard = issues(numbered).groupBy("symbol").agg(F.count("*").alias("hard"))
     all_ = flags.join(hard, "symbol", "left").na.fill({"hard": 0})
     return all_.withColumn("status", F.when(F.col("hard") > 0, "quarantined").when(F.col("wicks") + F.col("jumps") > 0, "flagged_for_review").otherwise("clear_by_defined_checks"))

@@ -44,7 +44,7 @@ def assess(quarters: DataFrame, p: Params = DEFAULT) -> DataFrame:
         holds = ~above & (x["low"] >= x["lid"] * (1 - p.retest_tolerance_pct / 100))
         held = F.when(holds, top).otherwise(a["held_high"])
         slope = (x["close"] - a["pre"]) / a["pre"] / (x["q_idx"] - a["since"] + 1) * 400
-        expansion = (best / a["lid_at"] - 1) * 100
+        expansion = F.round((best / a["lid_at"] - 1) * 100, 2)
         lid_slope = F.coalesce(a["lid_slope"], x["slope"] / x["lid"] * 400)
         persist = (run >= p.confirm_closes) & (expansion >= p.expansion_pct) & (slope >= F.greatest(F.lit(p.post_slope_pct), 2 * F.abs(lid_slope)))
         again = a["held_high"].isNotNull() & above & (x["high"] > a["held_high"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from basewatch.functions.scalars import clamp01, grade_for_slope
 from basewatch.operators import bars, breakout, peaks
 from basewatch.params import DEFAULT, Params
+from basewatch.sources.tables import written
 
 #: Reasons for which a sloped candidate is turned down, in the order in which they are looked for. Fixed values.
 SLOPED_REASONS = (
@@ -211,12 +212,12 @@ def lid_quarters(chart: DataFrame, lid: DataFrame, p: Params = DEFAULT) -> DataF
 
 def analysed(months: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame:
     """The whole analysis, one row for each symbol: its lid in months, touches, pullbacks, gates, grade, lifecycle and score."""
-    chart = mountains(charts(months, as_of), p)
-    lid = chosen(zone_lids(chart, p), sloped_lids(chart, p))
+    chart = written(mountains(charts(months, as_of), p), "charts")  # the bars are read once
+    lid = written(chosen(zone_lids(chart, p), sloped_lids(chart, p)), "lids")
     walk = lid_quarters(chart, lid, p)
     state = breakout.assess(walk.filter("complete"), p).select("symbol", "state", "escape_q", "confirmed_q", "via", "failed")
     partial = walk.filter("NOT complete").select("symbol", (F.col("close") > F.col("lid") * (1 + F.col("band_pct") / 100)).alias("over"))
-    minor = peaks.swings(months, p).filter(F.col("prominence_pct") >= p.minor_prominence_pct)
+    minor = peaks.swings(chart.select("symbol", F.explode("months").alias("m")).select("symbol", "m.*"), p).filter(F.col("prominence_pct") >= p.minor_prominence_pct)
     minor = minor.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "price"))).alias("minor"))
     x = chart.select("symbol", "months", "quarters", "n_done", "n_all").join(lid.withColumnRenamed("confirmed_q", "lid_confirmed_q"), "symbol", "left")
     x = x.join(state, "symbol", "left").join(partial, "symbol", "left").join(minor, "symbol", "left")
@@ -257,7 +258,7 @@ def analysed(months: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame
     lo, hi = F.get("dips", F.lit(0)), F.try_element_at("dips", F.lit(-1))
     rise = (hi["low"] - lo["low"]) / F.nullif(hi["idx"] - lo["idx"], F.lit(0))
     support_now = hi["low"] + rise * (F.col("n") - 1 - hi["idx"])
-    has = F.col("family").isNotNull() & (F.col("lid_now") > 0)
+    has = F.col("family").isNotNull() & (F.col("lid_now") > 0) & (F.col("n") >= p.min_bars)
     gate = F.col("lid_grade").isNull() | ~F.col("compressed") | ((F.col("proximity_pct") < p.proximity_gate_pct) & (F.col("state") == "sealed")) | F.coalesce(F.col("base_r2") >= p.trend_r2, F.lit(False))
     inside = F.col("proximity_pct").between(*p.lid_band_pct)
     lifecycle = (

@@ -35,6 +35,12 @@ class Params:
     break_tolerance_pct: float = 2.5
     touch_tolerance_pct: float = 3.5
     touch_cluster: int = 6
+    anchor_span: int = 24  # months, as the next two
+    stale_months: int = 48
+    tolerated_tail: int = 12
+    pair_touches: int = 2
+    wick_overshoots: int = 2
+    pair_slope_pct: tuple[float, float] = (-3.0, 30.0)
     pullback_bars: int = 3
     single_pullback_pct: float = 30.0
     last_depth_ratio: float = 0.65

@@ -173,7 +173,7 @@ def _(spark, d):
 
 @query("topk_trendlines", """WITH h AS (SELECT user_id AS symbol, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, value + 1 AS price, 0.5 AS confidence FROM events WHERE event_type = 'purchase'),
  t AS (SELECT a.symbol, a.idx AS ia, b.idx AS ib, h.confidence AS c, a.price + (b.price - a.price) / (b.idx - a.idx) * (h.idx - a.idx) AS line, h.price AS p FROM h a JOIN h b ON a.symbol = b.symbol AND b.idx - a.idx >= 2 JOIN h ON h.symbol = a.symbol),
- s AS (SELECT symbol, ia, ib, count(*) AS touches, round(least(1.0, avg(c) * (1 + 0.1 * (count(*) - 2))), 6)::DOUBLE AS confidence FROM t WHERE line > 0 AND abs(p - line) / line * 100 <= 1.5 GROUP BY ALL)
+ s AS (SELECT symbol, ia, ib, count(*) AS touches, round(least(1.0, avg(c) * (1 + 0.1 * (count(*) - 2))), 4)::DOUBLE AS confidence FROM t WHERE line > 0 AND abs(p - line) / line * 100 <= 1.5 GROUP BY ALL)
  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY touches DESC, confidence DESC, ia, ib)::INT AS rank FROM s QUALIFY rank <= 5""")
 def _(spark, d):
     e = table(spark, d, "events").filter("event_type = 'purchase'")
@@ -181,13 +181,18 @@ def _(spark, d):
     return vision.trendlines(e.select(F.col("user_id").alias("symbol"), F.row_number().over(w).alias("idx"), (F.col("value") + 1).alias("price"), F.lit(0.5).alias("confidence")))
 
 
-@query("join_vision_snap")
+@query("join_vision_snap", """WITH c AS (SELECT user_id AS capture, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS pos, pos * 10.0::DOUBLE AS x, value + 1 AS high, (event_id % 400)::DOUBLE AS y_high FROM events WHERE event_type != 'error'),
+ d AS (SELECT user_id AS capture, event_id AS det, (event_id % 600)::DOUBLE AS x, (event_id * 7 % 400)::DOUBLE AS y, value + 1 AS price FROM events WHERE event_type = 'error'),
+ near AS (SELECT d.*, (SELECT arg_min(c.pos, (abs(c.x - d.x), c.pos)) FROM c WHERE c.capture = d.capture) AS nearest FROM d),
+ s AS (SELECT capture, max(high) - min(high) AS span FROM c GROUP BY capture),
+ t AS (SELECT near.capture, det, c.pos, c.high, abs(c.pos - nearest) + 10 * abs(c.high - price) / greatest(span, 1e-9) + 4 * abs(c.y_high - near.y) / 400 AS score FROM near JOIN c ON c.capture = near.capture AND abs(c.pos - nearest) <= 3 JOIN s ON s.capture = near.capture)
+ SELECT capture, det, pos, high, round(score, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY capture, det ORDER BY score, pos) = 1""")
 def _(spark, d):
     e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    c = e.filter("event_type != 'error'").select(F.col("user_id").alias("capture"), F.row_number().over(w).alias("pos"), (F.row_number().over(w) * 10.0).alias("x"), (F.col("value") + 1).alias("high"))
-    det = e.filter("event_type = 'error'").select(F.col("user_id").alias("capture"), F.col("event_id").alias("det"), (F.col("event_id") % 600).cast("double").alias("x"), (F.col("value") + 1).alias("price"))
-    return vision.snapped(det, c)
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    c = e.filter("event_type != 'error'").select(F.col("user_id").alias("capture"), pos.alias("pos"), (pos * 10.0).alias("x"), (F.col("value") + 1).alias("high"), (F.col("event_id") % 400).cast("double").alias("y_high"))
+    det = e.filter("event_type = 'error'").select(F.col("user_id").alias("capture"), F.col("event_id").alias("det"), (F.col("event_id") % 600).cast("double").alias("x"), (F.col("event_id") * 7 % 400).cast("double").alias("y"), (F.col("value") + 1).alias("price"))
+    return vision.snapped(det, c, 400.0)
 
 
 @query("json_canonical_hash")

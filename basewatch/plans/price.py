@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basewatch.functions.scalars import grade_for_slope
 from basewatch.operators import bars as B
 from basewatch.operators import breakout, peaks, screen
+from basewatch.params import DEFAULT
 from basewatch.plans.registry import registry
 from basewatch.sources.tables import DILATED_SQL, MONTHLY_SQL, dilated_bars, monthly_bars
 
@@ -72,15 +73,34 @@ def _(spark, d):
     return B.issues(damaged)
 
 
-_QUALITY = f"""WITH {DILATED_SQL}, r AS (SELECT symbol, bar_date, (abs(open) + abs(close)) / 2 AS body, (high - low) / ((abs(open) + abs(close)) / 2) AS range, lag(close) OVER w AS before FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)),
- s AS (SELECT *, median(range) OVER t AS mid, count(range) OVER t AS n FROM r WINDOW t AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
- f AS (SELECT symbol, (n >= 12 AND range >= 0.5 AND range >= 6 * mid) AS wick, coalesce(greatest(body / before, before / body) >= 4, false) AS jump FROM s)
- SELECT symbol, sum(wick::INT)::BIGINT AS wicks, sum(jump::INT)::BIGINT AS jumps, 0::BIGINT AS hard, CASE WHEN sum(wick::INT) + sum(jump::INT) > 0 THEN 'flagged_for_review' ELSE 'clear_by_defined_checks' END AS status FROM f GROUP BY symbol"""
+#: Bars as they may come in: of some symbols out of order, twice, with a negative volume, stretched upwards; the same in SQL.
+_DAMAGED = """ordered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS nth FROM bars),
+ d AS (SELECT symbol, nth + CASE WHEN symbol < 'C' AND nth % 50 = 7 THEN 3 ELSE 0 END + 0.0 AS key, bar_date, open, CASE WHEN symbol < 'J' AND nth % 37 = 0 THEN high * 8 ELSE high END AS high, low, close, CASE WHEN symbol BETWEEN 'E' AND 'F' AND nth = 5 THEN -volume ELSE volume END AS volume FROM ordered
+   UNION ALL SELECT symbol, nth + 2.5, bar_date, open, high, low, close, volume FROM ordered WHERE symbol > 'U' AND nth % 90 = 11),
+ b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY key, bar_date) AS pos FROM d)"""
+
+
+def _damaged(spark, d):
+    b = dilated_bars(spark, d).withColumn("nth", F.row_number().over(B.by_time()))
+    s, nth = F.col("symbol"), F.col("nth")
+    again = b.filter((s > "U") & (nth % 90 == 11)).withColumn("key", nth + 2.5)
+    b = b.withColumn("key", nth + F.when((s < "C") & (nth % 50 == 7), 3).otherwise(0) + 0.0)
+    b = b.withColumns({"high": F.when((s < "J") & (nth % 37 == 0), F.col("high") * 8).otherwise(F.col("high")), "volume": F.when(s.between("E", "F") & (nth == 5), -F.col("volume")).otherwise(F.col("volume"))})
+    return b.unionByName(again).withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("key", "bar_date"))).drop("nth", "key")
+
+
+_QUALITY = f"""WITH {DILATED_SQL}, {_DAMAGED}, r AS (SELECT symbol, pos, bar_date, open, high, low, close, volume, (abs(open) + abs(close)) / 2 AS body, (high - low) / body AS range, greatest(0, high - greatest(open, close)) / body AS upper, greatest(0, least(open, close) - low) / body AS lower, lag(close) OVER w AS before,
+   lag(bar_date) OVER w AS last_date, row_number() OVER (PARTITION BY symbol, bar_date ORDER BY pos) AS times FROM b WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+ h AS (SELECT symbol FROM r WHERE times > 1 UNION ALL SELECT symbol FROM r WHERE bar_date < last_date UNION ALL SELECT symbol FROM r WHERE volume < 0),
+ s AS (SELECT *, median(range) OVER t AS mid, count(range) OVER t AS n FROM r WINDOW t AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT symbol, (n >= 12 AND greatest(upper, lower) >= 0.5 AND greatest(upper, lower) >= 6 * mid) AS wick, coalesce(greatest(body / before, before / body) >= 4, false) AS jump FROM s)
+ SELECT symbol, sum(wick::INT)::BIGINT AS wicks, sum(jump::INT)::BIGINT AS jumps, coalesce(any_value(n_hard), 0) AS hard,
+  CASE WHEN any_value(n_hard) > 0 THEN 'quarantined' WHEN sum(wick::INT) + sum(jump::INT) > 0 THEN 'flagged_for_review' ELSE 'clear_by_defined_checks' END AS status FROM f LEFT JOIN (SELECT symbol, count(*) AS n_hard FROM h GROUP BY symbol) USING (symbol) GROUP BY symbol"""
 
 
 @query("data_quality", _QUALITY)
 def _(spark, d):
-    return B.data_quality(dilated_bars(spark, d))
+    return B.data_quality(_damaged(spark, d))
 
 
 _FEATURES = f"""WITH {DILATED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back, CASE WHEN count(*) OVER w = 12 THEN max(high) OVER w END AS top, CASE WHEN count(*) OVER w = 12 THEN min(low) OVER w END AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
@@ -139,7 +159,7 @@ def _(spark, d):
 
 @query("det_select_majors")
 def _(spark, d):
-    return peaks.separated(peaks.swings(_clean(spark, d)), 15.0, 9)
+    return peaks.separated(peaks.swings(_clean(spark, d)), DEFAULT.major_prominence_pct, DEFAULT.major_separation)
 
 
 @query("det_price_zones")
@@ -243,15 +263,15 @@ def _(spark, d):
 _GRADE = "CASE WHEN s IS NULL OR s < -3 THEN NULL WHEN s >= -1 AND s < 5 THEN 'A' WHEN s < 6.5 THEN 'B' WHEN s < 12 THEN 'C' END"
 
 
-@query("classify_grade", f"WITH {DILATED_SQL}{_NUMBERED}, f AS (SELECT symbol, regr_slope(high, idx) / avg(high) * 1200 AS s FROM c WHERE idx >= 240 GROUP BY symbol) SELECT symbol, round(s, 6) AS slope_pct, {_GRADE} AS grade FROM f")
+@query("classify_grade", f"WITH {DILATED_SQL}{_NUMBERED}, f AS (SELECT symbol, regr_slope(high, idx) / avg(high) * 1200 AS s FROM c GROUP BY symbol) SELECT symbol, round(s, 6) AS slope_pct, {_GRADE} AS grade FROM f")
 def _(spark, d):
-    f = _clean(spark, d).filter("idx >= 240").groupBy("symbol").agg((F.regr_slope("high", "idx") / F.avg("high") * 1200).alias("s"))
+    f = _clean(spark, d).groupBy("symbol").agg((F.regr_slope("high", "idx") / F.avg("high") * 1200).alias("s"))
     return f.select("symbol", F.round("s", 6).alias("slope_pct"), grade_for_slope(F.col("s")).alias("grade"))
 
 
-@query("agg_slope_hist", f"WITH {DILATED_SQL}{_NUMBERED}, f AS (SELECT symbol, regr_slope(high, idx) / avg(high) * 1200 AS s FROM c WHERE idx >= 240 GROUP BY symbol) SELECT CASE WHEN s < -3 THEN '<-3' WHEN s < 0 THEN '-3..0' WHEN s < 2 THEN '0..2' WHEN s < 5 THEN '2..5' WHEN s < 12 THEN '5..12' ELSE '>=12' END AS bucket, count(*) AS n, round(min(s), 6) AS low, round(median(s), 6) AS middle, round(max(s), 6) AS high FROM f GROUP BY 1")
+@query("agg_slope_hist", f"WITH {DILATED_SQL}{_NUMBERED}, f AS (SELECT symbol, regr_slope(high, idx) / avg(high) * 1200 AS s FROM c GROUP BY symbol) SELECT CASE WHEN s < -3 THEN '<-3' WHEN s < 0 THEN '-3..0' WHEN s < 2 THEN '0..2' WHEN s < 5 THEN '2..5' WHEN s < 12 THEN '5..12' ELSE '>=12' END AS bucket, count(*) AS n, round(min(s), 6) AS low, round(median(s), 6) AS middle, round(max(s), 6) AS high FROM f GROUP BY 1")
 def _(spark, d):
-    f = _clean(spark, d).filter("idx >= 240").groupBy("symbol").agg((F.regr_slope("high", "idx") / F.avg("high") * 1200).alias("s"))
+    f = _clean(spark, d).groupBy("symbol").agg((F.regr_slope("high", "idx") / F.avg("high") * 1200).alias("s"))
     s = F.col("s")
     bucket = F.when(s < -3, "<-3").when(s < 0, "-3..0").when(s < 2, "0..2").when(s < 5, "2..5").when(s < 12, "5..12").otherwise(">=12")
     return f.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.min("s"), 6).alias("low"), F.round(F.median("s"), 6).alias("middle"), F.round(F.max("s"), 6).alias("high"))

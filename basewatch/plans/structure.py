@@ -11,7 +11,7 @@ from basewatch.operators import reviews as R
 from basewatch.plans.events import _LOG, _log
 from basewatch.plans.price import _LID, _NUMBERED, _QUARTERS, _SWINGS, AS_OF, _clean, _lids, _r
 from basewatch.plans.registry import registry
-from basewatch.sources.tables import DILATED_SQL, MONTHLY_SQL, TICKS_SQL, dilated_bars, monthly_bars, table, ticks
+from basewatch.sources.tables import DILATED_SQL, MONTHLY_SQL, TICKS_SQL, dilated_bars, monthly_bars, table, ticks, written
 
 query, QUERIES, SQL = registry()
 
@@ -63,13 +63,13 @@ def _(spark, d):
 
 @query("det_select_family")
 def _(spark, d):
-    m = _mountains(spark, d)
+    m = written(_mountains(spark, d), "charts")
     return _flat(lids.chosen(lids.zone_lids(m), lids.sloped_lids(m)))
 
 
 @query("det_lid_breakout")
 def _(spark, d):
-    m = _mountains(spark, d)
+    m = written(_mountains(spark, d), "charts")
     walk = lids.lid_quarters(m, lids.chosen(lids.zone_lids(m), lids.sloped_lids(m)))
     return breakout.assess(walk.filter("complete"))
 
@@ -97,7 +97,7 @@ _TOUCHES = _MAJORS + ", n AS (SELECT l.symbol, a, b, count(*) AS touches FROM l
 
 
 def _lines(spark, d):
-    s = peaks.swings(_clean(spark, d))
+    s = written(peaks.swings(_clean(spark, d)), "swings")
     return s, peaks.pair_lines(s.filter("prominence_pct >= 15"), 24)
 
 
@@ -113,10 +113,31 @@ def _(spark, d):
     return _touches(spark, d)
 
 
-@query("win_best_pair", _TOUCHES + " SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY touches DESC, b - a DESC, a, b) = 1")
+#: Majors by a plain recursion over swings by prominence, then every pair with its clustered touches, gates and score.
+_BEST = _SWINGS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT symbol, list({'idx': idx, 'price': price} ORDER BY prominence_pct DESC, idx) AS tops FROM sw WHERE prominence_pct >= 15 GROUP BY symbol),
+ pick AS (SELECT symbol, tops, [] :: STRUCT(idx BIGINT, price DOUBLE)[] AS kept, 1 AS i FROM o UNION ALL
+  SELECT symbol, tops, CASE WHEN len(list_filter(kept, lambda k: abs(k.idx - tops[i].idx) < 9)) > 0 THEN kept ELSE list_append(kept, tops[i]) END, i + 1 FROM pick WHERE i <= len(tops)),
+ mj AS (SELECT symbol, unnest(kept) AS t FROM pick WHERE i = len(tops) + 1),
+ lines AS (SELECT x.symbol, x.t.idx AS a, y.t.idx AS b, x.t.price AS pa, (y.t.price - x.t.price) / (y.t.idx - x.t.idx) AS slope, (SELECT max(idx) FROM c WHERE c.symbol = x.symbol) AS last FROM mj x JOIN mj y ON x.symbol = y.symbol AND y.t.idx - x.t.idx >= 24),
+ ok AS (SELECT *, slope * 1200 / (pa + slope * (last - a)) AS slope_pct FROM lines WHERE pa + slope * (last - a) > 0 AND slope * 1200 / (pa + slope * (last - a)) BETWEEN -3 AND 30),
+ e AS (SELECT ok.*, sw.idx, sw.price, (sw.price - (pa + slope * (sw.idx - a))) / (pa + slope * (sw.idx - a)) AS off FROM ok JOIN sw ON sw.symbol = ok.symbol AND sw.prominence_pct >= 5 AND pa + slope * (sw.idx - a) > 0),
+ g AS (SELECT symbol, a, b, pa, slope, slope_pct, last, list({'idx': idx, 'price': price} ORDER BY idx) FILTER (abs(off) <= 0.035) AS near, count(*) FILTER (off > 0.035) AS overshoots FROM e GROUP BY ALL HAVING count(*) FILTER (off > 0.035) <= 2 AND count(*) FILTER (abs(off) <= 0.035) > 0),
+ walk AS (SELECT symbol, a, b, pa, slope, slope_pct, last, overshoots, near, [] :: STRUCT(idx BIGINT, price DOUBLE)[] AS hits, 1 AS i FROM g UNION ALL
+  SELECT symbol, a, b, pa, slope, slope_pct, last, overshoots, near, CASE WHEN len(hits) > 0 AND near[i].idx - hits[-1].idx <= 6 THEN CASE WHEN near[i].price > hits[-1].price THEN list_append(hits[:-2], near[i]) ELSE hits END ELSE list_append(hits, near[i]) END, i + 1 FROM walk WHERE i <= len(near)),
+ h AS (SELECT *, hits[-1].idx - hits[1].idx AS span, last - hits[-1].idx AS quiet FROM walk WHERE i = len(near) + 1 AND len(hits) >= 2),
+ viol AS (SELECT h.symbol, a, b, slope_pct, overshoots, hits, span, quiet, count(*) FILTER (pa + slope * (c.idx - a) <= 0 OR close > (pa + slope * (c.idx - a)) * 1.025) AS violations,
+   count(*) FILTER (c.idx < last - 11 AND (pa + slope * (c.idx - a) <= 0 OR close > (pa + slope * (c.idx - a)) * 1.025)) AS early, max(pa + slope * (last - a)) AS lid_now, arg_max(close, c.idx) AS close_now
+   FROM h JOIN c ON c.symbol = h.symbol AND c.idx >= hits[1].idx GROUP BY ALL),
+ r AS (SELECT *, 0.40 * least(len(hits), 5) / 5 + 0.25 * least(span / 120, 1.0) + 0.20 * greatest(0.0, least(1.0, 1 - abs(slope_pct) / 15)) + 0.15 * greatest(0.0, least(1.0, 1 - quiet / 60)) - 0.10 * overshoots - 0.05 * violations AS score
+   FROM viol WHERE span >= 24 AND early = 0 AND NOT (quiet > 48 AND close_now < 0.8 * lid_now))
+ SELECT symbol, a, b, len(hits) AS touches, overshoots, violations, round(slope_pct, 6) AS slope_pct, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, span DESC, len(hits) DESC, a, b) = 1"""
+
+
+@query("win_best_pair", _BEST)
 def _(spark, d):
-    w = Window.partitionBy("symbol").orderBy(F.desc("touches"), F.desc(F.col("b") - F.col("a")), "a", "b")
-    return _touches(spark, d).withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
+    c = _clean(spark, d)
+    best = peaks.best_pairs(written(peaks.swings(c), "swings"), c)
+    return best.withColumns({"slope_pct": F.round("slope_pct", 6), "score": F.round("score", 6)})
 
 
 @query("join_line_violations", _MAJORS + " SELECT l.symbol, a, b, count(*) AS violations FROM l JOIN c ON c.symbol = l.symbol AND c.idx >= a AND price_a + slope * (c.idx - a) > 0 AND c.close > (price_a + slope * (c.idx - a)) * 1.025 GROUP BY ALL")

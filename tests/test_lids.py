@@ -2,7 +2,6 @@
 
 from datetime import date
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,25 +10,37 @@ from basewatch.operators import bars, lids
 SCHEMA = "symbol string, bar_date date, open double, high double, low double, close double, volume double"
 
 
-def chart(symbol, n=120, slope=0.0, depths=(0.5, 0.4, 0.3), end=0.96, extra=(), volumes=None):
-    """A ceiling at 100 in month 20, rising by slope a month, touched in months 20, 60 and 100 and by the last month's high; a dip between touches."""
-    lid = lambda i: 100.0 + slope * (i - 20)
-    turns, highs, lows = {0: lid(0) * 0.65, n - 1: lid(n - 1) * end}, {n - 1: lid(n - 1)}, {}
-    for t, until, depth in zip((20, 60, 100), (60, 100, n - 1), depths, strict=True):
-        turns[t], highs[t] = lid(t) * 0.99, lid(t)
-        middle = (t + until) // 2
-        if t < middle < n - 1:
-            turns[middle] = lows[middle] = lid(middle) * (1 - depth)
-    at = sorted(turns)
-    closes = list(np.interp(range(n), at, [turns[i] for i in at])) + list(extra)
-    return [(symbol, date(2010 + i // 12, i % 12 + 1, 1), float(c), float(highs.get(i, c * 1.005)), float(lows.get(i, c * 0.995)), float(c), volumes(i) if volumes else 1e6) for i, c in enumerate(closes)]
+def chart(symbol, turns, peaks=(), dips=(), months=120, start=2010, volumes=None):
+    """Monthly bars whose closes go straight from one turning point (month, close) to the next; peaks and dips are (month, price) of single highs and lows."""
+    highs, lows, rows, leg = dict(peaks), dict(dips), [], 0
+    for month in range(months):
+        while month > turns[leg + 1][0]:
+            leg += 1
+        (m0, c0), (m1, c1) = turns[leg], turns[leg + 1]
+        close = c0 + (c1 - c0) * (month - m0) / (m1 - m0)
+        rows.append((symbol, date(start + month // 12, month % 12 + 1, 1), close, highs.get(month, close * 1.004), lows.get(month, close * 0.996), close, volumes(month) if volumes else 1e6))
+    return rows
+
+
+#: Three mountains at 100 in months 20, 60 and 100; what lies between differs.
+TOPS = [(20, 100.0), (60, 100.0), (100, 100.0)]
+FLAT = [(0, 66.0), (20, 99.0), (40, 50.0), (60, 99.0), (80, 60.0), (100, 99.0), (110, 70.0), (119, 96.0)]
+DIPS = [(40, 50.0), (80, 60.0), (110, 70.0)]
 
 
 @pytest.fixture(scope="module")
 def found(spark):
     rows = (
-        chart("plain") + chart("basing", depths=(0.25, 0.35, 0.45), end=0.82) + chart("pressed", depths=(0.45, 0.30, 0.44), end=0.97) + chart("broken", extra=[110.0] * 6)
-        + chart("young", n=119) + chart("rising", slope=100 * 0.04 / 12) + chart("falling", slope=-100 * 0.02 / 12) + chart("quieter", volumes=lambda i: 2e6 if i < 60 else 1e6)
+        chart("plain", FLAT, TOPS, DIPS)
+        + chart("basing", [(0, 66.0), (20, 99.0), (40, 75.0), (60, 99.0), (80, 65.0), (100, 99.0), (110, 55.0), (119, 82.0)], TOPS, [(40, 75.0), (80, 65.0), (110, 55.0)])
+        + chart("pressed", [(0, 66.0), (20, 99.0), (40, 55.0), (60, 99.0), (80, 70.0), (100, 99.0), (110, 56.0), (119, 97.0)], TOPS, [(40, 55.0), (80, 70.0), (110, 56.0)])
+        + chart("broken", [*FLAT, (120, 110.0), (125, 110.0)], TOPS, DIPS, months=126)
+        + chart("young", [*FLAT[:-1], (118, 96.0)], TOPS, DIPS, months=119)
+        + chart("rising", [(0, 60.0), (20, 99.0), (40, 53.3), (60, 112.2), (80, 72.0), (100, 125.4), (110, 91.0), (119, 126.7)], [(20, 100.0), (60, 113.33), (100, 126.67)], [(40, 53.3), (80, 72.0), (110, 91.0)])
+        + chart("falling", [(0, 67.0), (20, 99.0), (40, 48.3), (60, 92.4), (80, 54.0), (100, 85.8), (110, 59.5), (119, 80.2)], [(20, 100.0), (60, 93.33), (100, 86.67)], [(40, 48.3), (80, 54.0), (110, 59.5)])
+        + chart("quieter", FLAT, TOPS, DIPS, volumes=lambda m: 2e6 if m < 60 else 1e6)
+        + chart("short", [(0, 66.0), (8, 99.0), (16, 50.0), (24, 99.0), (32, 60.0), (44, 96.0)], [(8, 100.0), (24, 100.0)], [(16, 50.0), (32, 60.0)], months=45)
+        + chart("lone", [(0, 40.0), (60, 100.0), (119, 40.0)], [(60, 101.0)])
         + [("wave", date(1990 + i // 12, i % 12 + 1, 1), *[10 * 1.02**i] * 4, 1.0) for i in range(360)] + [("tiny", date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, None)]
     )
     months = bars.clean(spark.createDataFrame(rows, SCHEMA)).cache()
@@ -62,7 +73,7 @@ def test_volume_contraction(found):
 
 
 def test_trend_and_short_history_have_no_structure(found):
-    assert {found[1][s].lifecycle for s in ("wave", "tiny")} == {"no_structure"}
+    assert {found[1][s].lifecycle for s in ("wave", "tiny", "short", "lone")} == {"no_structure"}
 
 
 def test_sloped_lids(found):
