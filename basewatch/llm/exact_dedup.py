@@ -140,6 +140,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", state: str |
     is_new = F.col("locator").contains(f"/arrivals/{new}/")
     earlier = found.filter(~is_new).select(F.col("keep_locator").alias("_earlier")).distinct()
     stay = found.filter(is_new & F.col("kept")).join(earlier, F.col("keep_locator") == F.col("_earlier"), "left_anti").select(F.col("locator").alias("_at"))
+    stay = cut(stay, "stay")  # narrow and written: while it may be broadcast, no row of docs is shuffled
     there = spark.read.schema(docs.schema).parquet(f"{state}/arrivals/{new}")
     rows = packed(there, _locator=_locator())
     return unpacked(rows.join(stay, F.col("_locator") == F.col("_at"), "left_semi"))
