@@ -317,6 +317,6 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps one document, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     rows = packed(docs, _key=F.col(id_col).cast("long"))
     return unpacked(rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti"))
