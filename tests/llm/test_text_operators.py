@@ -306,22 +306,83 @@ def test_personal_data_without_base_form_is_added_and_look_alikes_stay(spark):
     assert not any(added[i] for i in range(len(planted), len(texts))), added
 
 
-def test_pipeline_stages(spark):
+def plain_mix(rows):
+    """rows (doc_id, source, size) -> copies, by a loop of dealing, capping and resharing, and trying every turn."""
+    names = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
+    size = {n: sum(z for _, s, z in rows if s == n) for n in names}
+    weight = {n: (3.0, 1.0, 2.0)[i % 3] for i, n in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(size.values()), set(names)
+    while free:
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n for n in free if share[n] > 2 * size[n]}
+        if not over:
+            target.update(share)
+            break
+        target.update({n: 2.0 * size[n] for n in over})
+        left -= sum(target[n] for n in over)
+        free -= over
+    out = {}
+    for n in names:
+        rate = target[n] / size[n] if size[n] else 0.0
+        own = [(d, z, int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:13], 16) / 16**13) for d, s, z in rows if s == n]
+        turns = [{d: int(rate) + ((u + k / 32) % 1 < rate - int(rate)) for d, _, u in own} for k in range(32)]
+        out.update(min(turns, key=lambda c: abs(sum(z * c[d] for d, z, _ in own) - target[n])))
+    return out
+
+
+def test_mixing_equals_a_plain_loop(docs):
+    rows = [(r.doc_id, r.source, len((r.text or "").encode().split())) for r in docs.collect()]
+    assert {r.doc_id: r.n_copies for r in mixing.mix_plan(docs).collect()} == plain_mix(rows)
+
+
+def test_pipeline_equals_a_plain_version(spark):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
     docs = table(spark, SF, "documents")
-    for i, (_, stage) in enumerate(p.STAGES):
-        out = stage(spark, docs, SF)
-        if i < len(p.STAGES) - 1:
-            assert out.columns == docs.columns
-            docs = out.cache()
-    got = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    good = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
-    kept, seen = [], set()
-    ok = {r.doc_id for r in quality.quality(table(spark, SF, "documents")).filter("kept").collect()}
-    for r in table(spark, SF, "documents").orderBy("doc_id").collect():
-        if r.doc_id in ok and norm(r.text) not in seen:
+    kept, seen = {}, set()
+    for r in docs.orderBy("doc_id").collect():
+        if r.doc_id in good and norm(r.text) not in seen:
             seen.add(norm(r.text))
-            kept.append((r.doc_id, r.text))
-    roots = {c for _, c in plain_components(kept).values()}
-    assert set(got) <= roots and max(got.values()) <= 2
+            kept[r.doc_id] = r
+    roots = sorted({c for _, c in plain_components([(i, r.text) for i, r in kept.items()]).values()})
+    copies = plain_mix([(i, kept[i].source, len((kept[i].text or "").encode().split())) for i in roots])
+    lib, want = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), collections.Counter()
+    for i in roots:
+        ids = lib.encode(kept[i].text or "", add_special_tokens=False).ids
+        text = lib.decode(ids, skip_special_tokens=False)
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] = copies[i]
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in p.run(spark, SF).collect())
+    assert got == +want
+
+
+def test_html_table(spark):
+    p, long = "<p>" + "long text here. " * 9 + "</p>", ("long text here. " * 9).strip()
+    rows = [(1, "u", None), (2, None, ""), (3, "u", f"<article><h1>T</h1>{p}</article>"), (3, "u", f"<article><h1>T</h1>{p}</article>"), (None, "v", "<body>" + "<div>" * 2000 + p + "</div>" * 2000), (5, "w", f"<div>{p}{p}</div><div>{p}{p}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("mine"), "n_chars": F.lit(1)})
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect()), key=str)
+    assert all(n == len(t) for _, _, t, n in got) and html_text.extract(pages.limit(0)).count() == 0
+    texts = {(i, u): t for i, u, t, _ in got}
+    assert len(got) == 6 and texts[1, "u"] == texts[2, None] == "" and texts[3, "u"] == f"T\n{long}" and texts[None, "v"] == long and texts[5, "w"].startswith(long)
+
+
+def test_density_decides_inside_articles():
+    p = "<p>" + "long text here. " * 9 + "</p>"
+    links = "<div>" + "".join(f"<a href={i}>Read this other story too</a> " for i in range(12)) + "</div>"
+    got = html_text.main_text(f"<body><article><h1>Title</h1><p>Short.</p><div>{p}{p}{p}</div>{links}</article></body>")
+    assert got.startswith("Title\nShort.\nlong text") and "other story" not in got
+    for part in ("<p class='side note'>An aside in a paragraph</p>", "<section class='related-work'><p>An aside in a section</p></section>"):
+        assert "An aside" in html_text.main_text(f"<body><article><h1>Title</h1>{p}{part}{p}</article></body>")
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(3)
+    a, b = (" ".join(f"w{rng.integers(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, b), (4, a + " more"), (3, b + " more"), (9, "alone in the world here today")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 57, 3), (4, 57, 4), (5, 56, 3), (5, 56, 4), (9, 2, 9)]
