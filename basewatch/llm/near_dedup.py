@@ -138,8 +138,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs(a, b), texts(node, text) -> the pairs whose full sets are similar enough."""
+    # each side finds its texts by the narrow pairs, and a pair's two sides meet by both nodes: no centre's texts are in one task
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    two = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(two, ["a", "b"]).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         shingler, sets, held = Shingler(), {}, 0
