@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewatch.llm.common import cut, packed, unpacked
+from basewatch.llm.common import cut, packed, remove, unpacked, written
 
 SHINGLE, PERMUTATIONS, ROWS, BANDS, SEED = 5, 168, 6, 56, 20_240
 #: A link: LINK[1] * intersection >= LINK[0] * union.
@@ -271,13 +271,19 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, kept."""
-    rows = cut(signed(docs, id_col, text_col), "signed")
-    nodes = cut(_nodes(rows), "nodes")
+    spark = docs.sparkSession
+    rows, signed_path = written(signed(docs, id_col, text_col), "signed")
+    nodes, nodes_path = written(_nodes(rows), "nodes")
+    # signatures are the bulk of what is written: each table of them goes as soon as the next one is there
+    rows = cut(rows.select("doc_id", "n_shingles", "set_key"), "sets")
+    remove(spark, signed_path)
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    buckets = cut(in_bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "centre"), "centres")
     # only buckets of several nodes: everything below works on these few rows
-    shared = cut(in_bands.join(buckets.select("band", "centre"), "band"), "buckets")
+    shared = cut(in_bands.join(buckets, "band"), "buckets")
     marks = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first_id", "text_key", "n_shingles", *_SKETCH), "sketches")
+    nodes = cut(nodes.select("set_key", "node", "first_id"), "names")
+    remove(spark, nodes_path)
     text = F.col(text_col).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     # narrow and written, so that Spark knows how small it is: as long as it may be broadcast, no text is shuffled to be found
