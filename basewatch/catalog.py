@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewatch.plans import corpus, events, price, structure
+from basewatch.plans import contracts, corpus, events, price, structure
 
 
 def queries():
-    return price.QUERIES | structure.QUERIES | events.QUERIES | corpus.QUERIES
+    return price.QUERIES | structure.QUERIES | events.QUERIES | corpus.QUERIES | contracts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return price.SQL | structure.SQL | events.SQL | corpus.SQL
+    return price.SQL | structure.SQL | events.SQL | corpus.SQL | contracts.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
