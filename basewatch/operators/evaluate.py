@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from basewatch.functions.scalars import f1, wilson
 
@@ -51,26 +52,48 @@ def split_leaks(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("setup").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
-def best_matching(expected: list[int], predicted: list[int], tolerance: int) -> int:
-    """The largest number of one-to-one pairs at most tolerance apart: for points on a line the earliest partner will do."""
-    n, free = 0, sorted(predicted)
-    for e in sorted(expected):
-        hit = next((p for p in free if abs(p - e) <= tolerance), None)
-        if hit is not None:
-            free.remove(hit)
-            n += 1
-    return n
+def best_pairs(expected: list[int], predicted: list[int], tolerance: int) -> list[tuple[int, int, int]]:
+    """One-to-one pairs (place, place, distance) of two sorted lists, at most tolerance apart: as many as can be, of these the nearest, of these the earliest.
 
+    Pairs of points on a line need not cross, so a table of the best for every two rests of the lists is filled from their ends."""
+    below = [(0, 0, ())] * (len(predicted) + 1)
+    for i in reversed(range(len(expected))):
+        row = [(0, 0, ())] * (len(predicted) + 1)
+        for j in reversed(range(len(predicted))):
+            ways, off = [below[j], row[j + 1]], abs(expected[i] - predicted[j])
+            if off <= tolerance:
+                missing, error, rest = below[j + 1]
+                ways.append((missing - 1, error + off, ((i, j, off), *rest)))
+            row[j] = min(ways)
+        below = row
+    return list(below[0][2])
 
-def matched_dates(points: DataFrame, tolerance: int) -> DataFrame:
-    """points(episode, kind 'expected' or 'predicted', quarter) -> tp, fp, fn for each episode."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, p = (sorted(set(pdf.loc[pdf["kind"] == k, "quarter"])) for k in ("expected", "predicted"))
-        n = best_matching(e, p, tolerance)
-        return pd.DataFrame([{"episode": pdf["episode"].iloc[0], "tp": n, "fp": len(p) - n, "fn": len(e) - n}])
+def _pairing(tolerance: int):
+    @pandas_udf("array<struct<expected: int, predicted: int, error: int>>")
+    def run(expected: pd.Series, predicted: pd.Series) -> pd.Series:
+        return pd.Series([best_pairs(list(e), list(p), tolerance) for e, p in zip(expected, predicted)], dtype=object)
+
+    return run
+
+
+def matched_pairs(points: DataFrame, tolerance: int, *keys: str) -> DataFrame:
+    """points(keys, kind 'expected' or 'predicted', day), matched by quarter -> tp, fp, fn, error (the sum of quarters) and pairs of days, one row for each key ('episode' unless named).
+
+    A key's lists hold its distinct days, one for each label of one chart; keys are spread by a shuffle."""
+    keys = keys or ("episode",)
+    days = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("day")))).alias(k)
+    quarters = lambda c: F.transform(c, lambda x: (F.year(x) * 4 + F.quarter(x)).cast("int"))
+    g = points.groupBy(*keys).agg(days("expected"), days("predicted")).withColumn("m", _pairing(tolerance)(quarters("expected"), quarters("predicted")))
+    pairs = F.transform("m", lambda x: F.struct(F.get("expected", x["expected"]).alias("expected"), F.get("predicted", x["predicted"]).alias("predicted"), x["error"].alias("error")))
+    n = F.size("m").cast("long")
+    return g.select(*keys, n.alias("tp"), (F.size("predicted") - n).alias("fp"), (F.size("expected") - n).alias("fn"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["error"]).alias("error"), pairs.alias("pairs"))
+
+
+def matched_dates(points: DataFrame, tolerance: int) -> DataFrame:
+    """matched_pairs() by episode without the pairs."""
+    return matched_pairs(points, tolerance).drop("pairs")
 
-    return points.groupBy("episode").applyInPandas(run, "episode long, tp long, fp long, fn long")
 
 
 #: Setups in a block of the bootstrap, on average.

@@ -115,8 +115,7 @@ def _(spark, d):
 @query("eval_match_dates")
 def _(spark, d):
     o = table(spark, d, "orders")
-    q = F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1
-    return E.matched_dates(o.select(F.col("o_custkey").alias("episode"), F.when(F.col("o_orderkey") % 2 == 0, "expected").otherwise("predicted").alias("kind"), q.alias("quarter")), 1)
+    return E.matched_dates(o.select(F.col("o_custkey").alias("episode"), F.when(F.col("o_orderkey") % 2 == 0, "expected").otherwise("predicted").alias("kind"), F.to_date("o_orderdate").alias("day")), 1)
 
 
 @query("agg_bootstrap_ci")

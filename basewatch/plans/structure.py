@@ -174,20 +174,6 @@ def _(spark, d):
     return c.withColumns({"year": F.year("bar_date"), "qtr": F.quarter("bar_date")}).join(q, ["symbol", "year", "qtr"]).select("symbol", "idx", "q_idx")
 
 
-@query("gold_completed_quarters", f"WITH {MONTHLY_SQL} SELECT symbol, year(bar_date) AS year, quarter(bar_date) AS qtr, count(DISTINCT month(bar_date)) AS months, max(high) AS high FROM bars GROUP BY 1, 2, 3 HAVING count(DISTINCT month(bar_date)) = 3")
-def _(spark, d):
-    g = monthly_bars(spark, d).groupBy("symbol", F.year("bar_date").alias("year"), F.quarter("bar_date").alias("qtr"))
-    return g.agg(F.count_distinct(F.month("bar_date")).alias("months"), F.max("high").alias("high")).filter("months = 3")
-
-
-@query("gold_milestones", f"WITH {DILATED_SQL}{_LID} SELECT symbol, min(bar_date) FILTER (close >= 0.7 * lid) AS recognizable, min(bar_date) FILTER (close >= 0.9 * lid) AS watch, min(bar_date) FILTER (close > lid * (1 + band_pct / 100)) AS action FROM bd WHERE lid IS NOT NULL GROUP BY symbol")
-def _(spark, d):
-    q = _lids(spark, d).filter("lid IS NOT NULL")
-    first = lambda test: F.min(F.when(test, F.col("bar_date")))
-    c, lid = F.col("close"), F.col("lid")
-    return q.groupBy("symbol").agg(first(c >= 0.7 * lid).alias("recognizable"), first(c >= 0.9 * lid).alias("watch"), first(c > lid * (1 + F.col("band_pct") / 100)).alias("action"))
-
-
 @query("win_rolling_extrema_12", f"WITH {DILATED_SQL}, r AS (SELECT symbol, bar_date, max(high) OVER w AS top, min(low) OVER w AS bottom, count(*) OVER w AS n, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT symbol, bar_date, top, bottom FROM r WHERE n = 12 AND back <= 60")
 def _(spark, d):
     w = B.by_time().rowsBetween(-11, 0)

@@ -64,8 +64,36 @@ def test_reviews_fold(spark):
 
 
 def test_date_matching():
-    assert evaluate.best_matching([1, 2], [2, 3], 1) == 2
-    assert evaluate.best_matching([], [1], 1) == 0
+    assert evaluate.best_pairs([], [1], 1) == [] == evaluate.best_pairs([1], [], 1)
+    assert evaluate.best_pairs([1, 2], [2, 3], 1) == [(0, 0, 1), (1, 1, 1)]  # the near pair alone would lose one
+
+
+def test_date_matching_against_all_assignments():
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        e, p = (sorted(rng.sample(range(12), rng.randrange(5))) for _ in range(2))
+        best = (0, 0)
+        for n in range(min(len(e), len(p)) + 1):
+            for some in itertools.combinations(range(len(e)), n):
+                for others in itertools.permutations(range(len(p)), n):
+                    off = [abs(e[i] - p[j]) for i, j in zip(some, others)]
+                    if all(x <= 2 for x in off):
+                        best = min(best, (-n, sum(off)))
+        got = evaluate.best_pairs(e, p, 2)
+        assert (-len(got), sum(x for _, _, x in got)) == best
+        assert len({i for i, _, _ in got}) == len({j for _, j, _ in got}) == len(got)
+
+
+def test_matched_pairs_are_days(spark):
+    from datetime import date
+
+    rows = [("a", "expected", date(2001, 1, 5)), ("a", "expected", date(2001, 1, 5)), ("a", "predicted", date(2001, 5, 1)), ("a", "predicted", date(2002, 5, 1)), ("b", "predicted", date(2001, 1, 1))]
+    got = {r.episode: r for r in evaluate.matched_pairs(spark.createDataFrame(rows, "episode string, kind string, day date"), 1).collect()}
+    assert (got["a"].tp, got["a"].fp, got["a"].fn, got["a"].error) == (1, 1, 0, 1) and tuple(got["a"].pairs[0]) == (date(2001, 1, 5), date(2001, 5, 1), 1)
+    assert (got["b"].tp, got["b"].fp, got["b"].fn) == (0, 1, 0)
 
 
 def test_data_quality_on_no_rows(spark):
