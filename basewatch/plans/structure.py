@@ -9,7 +9,7 @@ from basewatch.operators import bars as B
 from basewatch.operators import breakout, lids, peaks, screen
 from basewatch.operators import reviews as R
 from basewatch.plans.events import _LOG, _log
-from basewatch.plans.price import _LID, _NUMBERED, _QUARTERS, _SWINGS, AS_OF, _clean, _lids, _r
+from basewatch.plans.price import _NUMBERED, _QUARTERS, _SWINGS, AS_OF, _clean, _r
 from basewatch.plans.registry import registry
 from basewatch.sources.tables import DILATED_SQL, MONTHLY_SQL, TICKS_SQL, dilated_bars, monthly_bars, table, ticks, written
 
