@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewatch.llm import bpe, chat, exact_dedup, html_text, langid, mixing, near_dedup, pii, quality, token_counts
+from basewatch.llm import bpe, chat, exact_dedup, fim, html_text, langid, lexical, mixing, near_dedup, pii, quality, simhash, token_counts
 from basewatch.llm.common import table
 
 
@@ -59,9 +59,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_token_counts, op4_mixing, op5_exact_dedup, op6_html_text, op7_bpe, op8_chat, op9_language, op10_pii)}
+    return {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_token_counts, op4_mixing, op5_exact_dedup, op6_html_text, op7_bpe, op8_chat, op9_language, op10_pii, op11_fill_in_middle, op12_simhash, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_lexical_search": lexical.ORACLE}

@@ -34,7 +34,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, sql = queries()[name](spark, SF), c.sql(oracle_sql()[name])
     cols = sorted(df.columns)
