@@ -31,6 +31,7 @@ empty result; other columns, whatever their names, aren't read.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -46,7 +47,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 K, BLOCK = 10, 128
-SEGMENT_DOCS, SEGMENT_BYTES = 32_768, 48 << 20
+SEGMENT_DOCS, SEGMENT_BYTES = 32_768, 12 << 20
 #: Documents of a shard, and queries and bytes of query text of a block, in expectation.
 SHARD_DOCS, BLOCK_QUERIES, BLOCK_BYTES = 65_536, 2_048, 8 << 20
 FIRST_STRETCH = 1_024
@@ -84,11 +85,16 @@ def from_varints(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first)
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of data that end at each of ends (in bytes), as binary values without a Python object for each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Segment:
     def __init__(self):
         self.vocabulary: dict[bytes, int] = defaultdict(lambda: len(self.vocabulary))
-        self.ids, self.lengths, self.held = [], [], 0
-        self.term, self.tf, self.distinct = [], [], []
+        self.ids, self.lengths, self.distinct, self.held = array("q"), array("q"), array("i"), 0
+        self.term, self.tf = array("i"), array("i")
 
     def add(self, doc_id: int | None, text: bytes | None) -> None:
         words = terms(text)
@@ -105,43 +111,46 @@ class Segment:
     def full(self) -> bool:
         return len(self.ids) >= SEGMENT_DOCS or self.held >= SEGMENT_BYTES
 
-    def rows(self, name: str) -> pa.RecordBatch:
+    def rows(self, name: str) -> list[pa.RecordBatch]:
+        """A row for each term, and then the documents' own."""
         lengths = np.array(self.lengths, np.int64)
-        doc = np.repeat(np.arange(len(lengths), dtype=np.int64), self.distinct)
-        term, tf = np.array(self.term, np.int64), np.array(self.tf, np.int64)
+        term = np.array(self.term, np.int32)
         order = np.argsort(term, kind="stable")  # documents stay in order
-        term, doc, tf = term[order], doc[order], tf[order]
+        doc, tf = np.repeat(np.arange(len(lengths), dtype=np.int32), self.distinct)[order], np.array(self.tf, np.int32)[order]
+        del order
         df = np.bincount(term, minlength=len(self.vocabulary))
-        start = np.cumsum(df) - df
-        in_list = np.arange(len(term)) - start[term]
-        first = np.nonzero(in_list % BLOCK == 0)[0]  # where blocks begin
-        block = np.cumsum(in_list % BLOCK == 0) - 1
-        last = np.append(first[1:], len(term)) - 1
-        gap = np.diff(doc, prepend=0)
+        starts = np.cumsum(df) - df
+        begins = np.zeros(len(doc) + 1, bool)  # of blocks
+        of_list = -(-df // BLOCK)  # blocks
+        upto = np.cumsum(of_list)
+        first = np.repeat(starts, of_list) + BLOCK * (np.arange(upto[-1]) - np.repeat(upto - of_list, of_list))
+        begins[first] = True
+        block = (np.cumsum(begins[:-1]) - 1).astype(np.int32)
+        last = np.append(first[1:], len(doc)) - 1
+        gap = np.diff(doc, prepend=np.int32(0))
         gap[first] = 0
         data, n = varints(np.stack([gap, tf], axis=1).ravel())
         ends = np.cumsum(np.add.reduceat(n, 2 * first))  # of blocks, in bytes
+        del gap, n, begins
         # impacts: by falling frequency, those whose length is below all lengths before
-        order = np.lexsort((lengths[doc], -tf, block))
-        b, f, m = block[order], tf[order], lengths[doc][order]
-        low = np.minimum.accumulate(m - b * (int(lengths.max()) + 1))
-        better = np.ones(len(b), bool)
-        better[1:] = (m - b * (int(lengths.max()) + 1))[1:] < low[:-1]
-        of_impacts = np.cumsum(np.bincount(b[better], minlength=len(first)))
-        impacts = np.stack([f[better], m[better]], axis=1)
-        blocks = np.append(np.searchsorted(first, start), len(first))  # where lists begin, in blocks
-        cols = [[] for _ in range(10)]
-        for name_, k in self.vocabulary.items():
-            i, j = blocks[k], blocks[k + 1]
-            byte, imp = int(ends[i - 1]) if i else 0, int(of_impacts[i - 1]) if i else 0
-            row = (name, name_, int(df[k]), None, doc[first[i:j]].astype(np.int32).tobytes(), doc[last[i:j]].astype(np.int32).tobytes(), (ends[i:j] - byte).astype(np.int32).tobytes(), impacts[imp : of_impacts[j - 1]].tobytes(), (of_impacts[i:j] - imp).astype(np.int32).tobytes(), data[byte : ends[j - 1]].tobytes())
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        own = (name, None, len(lengths), int(lengths.sum()), np.array(self.ids, np.int64).tobytes(), lengths.tobytes(), None, None, None, None)
-        for c, v in zip(cols, own, strict=True):
-            c.append(v)
-        kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+        own = lengths[doc]
+        order = np.lexsort((own, -tf, block))
+        block, f, own = block[order], tf[order], own[order]
+        low = own - block * np.int64(lengths.max() + 1)
+        better = np.ones(len(low), bool)
+        better[1:] = low[1:] < np.minimum.accumulate(low)[:-1]
+        of_impacts = np.cumsum(np.bincount(block[better], minlength=len(first)))
+        impacts = np.stack([f[better], own[better]], axis=1).astype(np.int64)
+        # every list's blocks, bytes and impacts lie side by side, in the order of terms
+        relative = lambda x: (x - np.repeat(np.append(0, x[upto - 1][:-1]), of_list)).astype(np.int32)
+        m = len(df)
+        columns = [
+            pa.repeat(name, m), pa.array(list(self.vocabulary), pa.binary()), pa.array(df, pa.int64()), pa.nulls(m, pa.int64()), _binary(doc[first].astype(np.int32), 4 * upto), _binary(doc[last].astype(np.int32), 4 * upto),
+            _binary(relative(ends), 4 * upto), _binary(impacts, 16 * of_impacts[upto - 1]), _binary(relative(of_impacts), 4 * upto), _binary(data, ends[upto - 1]),
+        ]
+        documents = [name, None, len(lengths), int(lengths.sum()), self.ids.tobytes(), self.lengths.tobytes(), None, None, None, None]
+        names, kinds = [x.split()[0] for x in INDEX.split(", ")], [pa.string(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        return [pa.RecordBatch.from_arrays(columns, names), pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(documents, kinds, strict=True)], names)]
 
 
 def build_index(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -154,10 +163,10 @@ def build_index(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 segment.add(doc_id, text.as_py())
                 if segment.full():
-                    yield segment.rows(f"{task}-{made}")
+                    yield from segment.rows(f"{task}-{made}")
                     made, segment = made + 1, Segment()
         if segment.ids:
-            yield segment.rows(f"{task}-{made}")
+            yield from segment.rows(f"{task}-{made}")
 
     return cut(rows.mapInArrow(run, INDEX), "index")
 

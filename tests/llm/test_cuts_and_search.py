@@ -184,7 +184,7 @@ def test_blocks_are_rejected_before_they_are_decompressed():
     texts = [" ".join(["common"] * int(rng.integers(0, 4)) + [f"w{rng.integers(40)}" for _ in range(int(rng.integers(2, 60)))] + (["rare"] * 5 if i % 97 == 0 else [])) for i in range(12_000)]
     for i, t in enumerate(texts):
         segment.add(i, t.encode())
-    rows = segment.rows("0").to_pylist()
+    rows = [r for b in segment.rows("0") for r in b.to_pylist()]
     lengths = np.frombuffer(rows[-1]["last"], np.int64)
     n, total = len(lengths), int(lengths.sum())
     lists = {r["term"]: lexical.PostingList(lexical.weight(n, r["n_docs"]), [(0, r)], n, total) for r in rows[:-1]}
