@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewatch.plans import contracts, corpus, events, gold, price, structure
+from basewatch.plans import contracts, corpus, events, gold, price, streams, structure
 
 
 def queries():
-    return price.QUERIES | structure.QUERIES | events.QUERIES | corpus.QUERIES | contracts.QUERIES | gold.QUERIES
+    return price.QUERIES | structure.QUERIES | events.QUERIES | corpus.QUERIES | contracts.QUERIES | gold.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return price.SQL | structure.SQL | events.SQL | corpus.SQL | contracts.SQL | gold.SQL
+    return price.SQL | structure.SQL | events.SQL | corpus.SQL | contracts.SQL | gold.SQL | streams.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

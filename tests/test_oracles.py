@@ -37,4 +37,5 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).columns
+    df = catalog.queries()[name](spark, SF)
+    assert all(list(r.asDict()) == df.columns for r in df.collect())
