@@ -55,18 +55,30 @@ def split_leaks(episodes: DataFrame) -> DataFrame:
 def best_pairs(expected: list[int], predicted: list[int], tolerance: int) -> list[tuple[int, int, int]]:
     """One-to-one pairs (place, place, distance) of two sorted lists, at most tolerance apart: as many as can be, of these the nearest, of these the earliest.
 
-    Pairs of points on a line need not cross, so a table of the best for every two rests of the lists is filled from their ends."""
-    below = [(0, 0, ())] * (len(predicted) + 1)
+    Pairs of points on a line need not cross, so a table of the best for every two rests of the lists is
+    filled from their ends: one number and one step a cell. Of ways that are equally good, one that
+    pairs the first two points comes first, then one that pairs the first expected point at all."""
+    step, big = [], (len(expected) + len(predicted) + 1) * (tolerance + 1)
+    below = [0] * (len(predicted) + 1)
     for i in reversed(range(len(expected))):
-        row = [(0, 0, ())] * (len(predicted) + 1)
+        row, ways, used = [0] * (len(predicted) + 1), bytearray(len(predicted) + 1), False  # used: the best of the cell to the right pairs i
         for j in reversed(range(len(predicted))):
-            ways, off = [below[j], row[j + 1]], abs(expected[i] - predicted[j])
-            if off <= tolerance:
-                missing, error, rest = below[j + 1]
-                ways.append((missing - 1, error + off, ((i, j, off), *rest)))
-            row[j] = min(ways)
+            off = abs(expected[i] - predicted[j])
+            paired = below[j + 1] + off - big if off <= tolerance else 1
+            row[j] = min(below[j], row[j + 1], paired)
+            ways[j] = 2 if paired == row[j] else 1 if row[j + 1] == row[j] and used else 0
+            if not ways[j] and below[j] != row[j]:
+                ways[j] = 1
+            used = ways[j] == 2 or ways[j] == 1 and used
+        step.append(ways)
         below = row
-    return list(below[0][2])
+    out, i, j = [], 0, 0
+    while i < len(expected) and j < len(predicted):
+        way = step[len(expected) - 1 - i][j]
+        if way == 2:
+            out.append((i, j, abs(expected[i] - predicted[j])))
+        i, j = i + (way != 1), j + (way != 0)
+    return out
 
 
 def _pairing(tolerance: int):
