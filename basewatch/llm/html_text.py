@@ -2,8 +2,8 @@
 
 The page becomes a tree. Every node gets characters per tag, adjusted for links: a node whose
 characters are mostly link text, or whose tags are mostly links, comes out lower. A node's sum is
-that of its children's densities; the node with the largest sum is the heart of the article. The
-smallest density on the way from the body to it is the threshold at which other subtrees beside
+that of its children's densities; the node with the largest sum is the heart of the article, or, where
+that is a paragraph, what holds it. The smallest density on the way from the body to it is the threshold at which other subtrees beside
 that way belong to the text as well.
 
 Elements that say themselves what they are (navigation, forms, scripts; a class or id that names
@@ -17,8 +17,9 @@ threshold: titles and short paragraphs there are few characters, and belong to i
 
 One map over pages, each by itself.
 
-Defined cases: null or empty html has empty text; broken markup is read as browsers do for the
-common cases (a paragraph ends where the next block begins); a page with no text has none; of
+Defined cases: null or empty html has empty text; broken markup is read as browsers do (a paragraph
+ends where the next block begins; a declaration of any kind goes up to its `>`, an unfinished comment,
+tag or script up to the page's end); a page with no text has none; of
 subtrees with equal sums the first in the page's order is the heart; repeated rows each come out; very long and very
 deep pages need time in proportion to their length (times the depth at which text lies beside the way); an empty table
 gives an empty one; other columns, whatever their names, aren't read.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,51 +54,147 @@ DOUBT = 0.25
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
+#: Elements whose content is no markup: up to their own end tag, or the page's end.
+RAW = frozenset("script style xmp iframe noembed noframes".split())
+RCDATA = frozenset("title textarea".split())
+_NAME, _ATTR, _BARE, _GAP = re.compile(r"[^\s/>]*+"), re.compile(r"[^\s/>][^\s/>=]*+"), re.compile(r"[^\s>]*+"), re.compile(r"[\s/]*+")
+_SPACE, _COMMENT = re.compile(r"\s*+"), re.compile("--!?>")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | RCDATA}
+KEPT = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
+
+
+def tokens(html: str):
+    """("text", text), ("start", tag, attributes, closes itself) and ("end", tag) in the page's order.
+
+    One pass forwards, without looking back: what a browser skips (comments, declarations of any kind,
+    a tag that the page's end cuts off) is skipped up to where the browser would stop."""
+    at, n = 0, len(html)
+    text: list[str] = []
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = n
+        text.append(html[at:lt])
+        if lt == n:
+            break
+        nxt = html[lt + 1 : lt + 2]
+        after = html[lt + 2 : lt + 3]
+        if nxt in ("!", "?") or nxt == "/" and after and not (after.isascii() and after.isalpha()):
+            if html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    at = html.index(">", lt + 4) + 1
+                    continue
+                end = _COMMENT.search(html, lt + 4)
+                at = end.end() if end else n
+            else:
+                end = html.find(">", lt + 1)
+                at = n if end < 0 else end + 1
+            continue
+        closing = nxt == "/"
+        begin = lt + 2 if closing else lt + 1
+        if not (html[begin : begin + 1].isalpha() and html[begin : begin + 1].isascii()):
+            text.append("<")
+            at = lt + 1
+            continue
+        name = _NAME.match(html, begin)
+        tag, at, attrs, itself = name[0].lower(), name.end(), {}, False
+        while True:
+            gap = _GAP.match(html, at)
+            at, itself = gap.end(), gap[0].endswith("/")
+            if at >= n:
+                break  # cut off: no tag
+            if html[at] == ">":
+                break
+            key = _ATTR.match(html, at)
+            at = _SPACE.match(html, key.end()).end()
+            value = ""
+            if html.startswith("=", at):
+                at = _SPACE.match(html, at + 1).end()
+                quote = html[at : at + 1]
+                if quote and quote in "\"'":
+                    end = html.find(quote, at + 1)
+                    value, at = (html[at + 1 : end], end + 1) if end >= 0 else ("", n)
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            if (k := key[0].lower()) in KEPT:
+                attrs.setdefault(k, unescape(value))
+        if at >= n:
+            break
+        at += 1
+        if joined := "".join(text):
+            yield "text", unescape(joined)
+        text = []
+        if closing:
+            yield "end", tag
+            continue
+        yield "start", tag, attrs, itself
+        if tag in _ENDS:
+            end = _ENDS[tag].search(html, at)
+            stop = end.start() if end else n
+            if stop > at:
+                yield "text", unescape(html[at:stop]) if tag in RCDATA else html[at:stop]
+            at = stop
+    if joined := "".join(text):
+        yield "text", unescape(joined)
+
+
 class Node:
-    __slots__ = ("attrs", "block", "chars", "density", "doubt", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "titled", "total")
+    __slots__ = ("attrs", "block", "chars", "density", "doubt", "in_article", "in_main", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "titled", "titled_above", "titles", "total")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs, self.doubt = tag, parent, attrs, False
+        self.in_article = self.in_main = False
+        self.titled_above = self.titles = 0
         self.kids: list[Node | str] = []
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#", None, {})
+class _Builder:
+    """A tree from tokens. Open elements are on a stack, with the places of each name's and of blocks': ending one takes no search."""
 
-    def handle_starttag(self, tag, attrs):
+    def __init__(self):
+        self.root = Node("#", None, {})
+        self.open: list[Node] = [self.root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of blocks but p
+
+    def read(self, html: str) -> Node:
+        for token in tokens(html):
+            if token[0] == "text":
+                self.open[-1].kids.append(token[1])
+            elif token[0] == "start":
+                self._start(*token[1:])
+            elif token[1] not in VOID:
+                self._end(token[1], -1 if token[1] in BLOCK else max(self.blocks[-1] if self.blocks else -1, self._last("p")))
+        return self.root
+
+    def _last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def _start(self, tag: str, attrs: dict[str, str], itself: bool) -> None:
         if tag in BLOCK:  # an open paragraph ends here, and what stands open inside it
-            self._end("p", BLOCK - {"p"})
+            self._end("p", self.blocks[-1] if self.blocks else -1)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self._end(tag, {"ul", "ol", "dl", "table", "tr" if tag in ("td", "th") else "table"})
-        node = Node(tag, self.at, {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")})
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCK:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        if tag in VOID:
+            self._end(tag, max(map(self._last, ("ul", "ol", "dl", "table", "tr" if tag in ("td", "th") else "table"))))
+        node = Node(tag, self.open[-1], attrs)
+        self.open[-1].kids.append(node)
+        if tag not in VOID and not (itself and tag not in BLOCK):
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK and tag != "p":
+                self.blocks.append(len(self.open))
+            self.open.append(node)
+
+    def _end(self, tag: str, stop: int) -> None:
+        """End the last open element of this name, unless something that it may not reach through (at place stop) is inside it."""
+        at = self._last(tag)
+        if at < 0 or at < stop:
             return
-        self._end(tag, () if tag in BLOCK else BLOCK)
-
-    def _end(self, tag, stops):
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if node.tag in stops:
-                return
-            node = node.parent
-
-    def handle_data(self, data):
-        self.at.kids.append(data)
+        while len(self.open) > at:
+            node = self.open.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK and node.tag != "p":
+                self.blocks.pop()
 
 
 def _named_noise(n: Node) -> set[str]:
@@ -111,25 +208,38 @@ def _named_noise(n: Node) -> set[str]:
     return out
 
 
-def _is_noise(n: Node, most: float, titled: list[Node]) -> bool:
+def _is_noise(n: Node, most: float, titled: int) -> bool:
     """Whether an element is taken off; where it is noise by name but has more than `most` unlinked characters, it stays in doubt, unless one of the titled articles stands beside it."""
     if n.tag in DROPPED - {"form"} or n.attrs.get("role", "").lower() in ROLES or "hidden" in n.attrs or n.attrs.get("aria-hidden", "").lower() == "true":
         return True
     if n.tag == "header":
-        return not any(p.tag in ("article", "main") for p in _up(n))
+        return not n.in_main
     if n.tag in ("html", "body", "main", "article"):
         return False
     named = _named_noise(n)
     if named and named <= HEADS:
-        named = named if not (n.titled or any(p.tag in ("article", "main") for p in _up(n))) else set()
-    if n.tag in TEXTUAL and any(p.tag == "article" for p in _up(n)):
+        named = named if not (n.titled or n.in_main) else set()
+    if n.tag in TEXTUAL and n.in_article:
         named -= WEAK
     if n.tag != "form" and not named:
         return False
     if n.chars - n.link_chars <= most:
         return True
     n.doubt = n.tag != "form"
-    return n.doubt and any(a not in (*_up(n),) and n not in (*_up(a),) for a in titled)
+    return n.doubt and titled > n.titled_above + n.titles
+
+
+def _placed(nodes: list[Node]) -> int:
+    """Which elements lie in articles, and how many titled articles lie above and in each; children come first. How many there are in all."""
+    own = lambda n: n.tag in ("article", "main") and n.titled
+    for n in nodes:
+        n.titles = own(n) + sum(k.titles for k in n.kids if not isinstance(k, str))
+    for n in reversed(nodes):
+        for k in n.kids:
+            if not isinstance(k, str):
+                k.in_article, k.in_main = n.in_article or n.tag == "article", n.in_main or n.tag in ("article", "main")
+                k.titled_above = n.titled_above + own(n)
+    return nodes[-1].titles
 
 
 def _up(n: Node):
@@ -232,15 +342,15 @@ def _blocks(chosen: list[Node]) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    body = next((n for n in reversed(_postorder(b.root)) if n.tag == "body"), b.root)
+    root = _Builder().read(html)
+    body = next((n for n in reversed(_postorder(root)) if n.tag == "body"), root)
     for n in reversed(_postorder(body)):
         n.kids = [k for k in n.kids if isinstance(k, str) or k.tag not in UNSEEN]
     _count(nodes := _postorder(body))
     most = (body.chars - body.link_chars) / 2
-    titled = [n for n in nodes if n.tag in ("article", "main") and n.titled]
+    for up in _up(body):
+        body.in_article, body.in_main = body.in_article or up.tag == "article", body.in_main or up.tag in ("article", "main")
+    titled = _placed(nodes)
     for n in reversed(nodes):  # parents first: what is off is off with all below it
         n.kids = [k for k in n.kids if isinstance(k, str) or not _is_noise(k, most, titled)]
     nodes = _postorder(body)
@@ -250,6 +360,8 @@ def main_text(html: str | None) -> str:
     heart = max(reversed(nodes), key=lambda n: n.total)
     if not heart.total:
         return "\n".join(_blocks([body]))
+    while heart is not body and heart.parent is not body and not any(not isinstance(k, str) and k.block for k in heart.kids):
+        heart = heart.parent  # a paragraph is no article: what holds it stands for it
     way = [heart, *_up(heart)]
     way = way[: way.index(body) + 1]
     threshold = min(n.density for n in way)
