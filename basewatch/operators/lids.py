@@ -21,6 +21,8 @@ SLOPED_REASONS = (
     "too_few_independent_touches", "total_span_too_short", "fit_error_too_large", "pre_confirmation_close_escape", "insufficient_congestion_cycles",
     "steady_compounding_trend", "too_directionally_efficient", "different_price_era_below_boundary", "obsolete_boundary_long_since_escaped",
 )
+#: The family of a reviewed lid, and the role of points that don't fit it. Fixed values.
+HUMAN, PEAK = "human_review", "breakout_peak"
 _LID = ("family", "anchors", "touches", "slope", "value_at_last", "slope_pct_per_year", "fit_error_pct", "score", "established_q", "confirmed_q", "start_q", "reject_reason", "rank")
 
 
@@ -203,19 +205,93 @@ def chosen(zones: DataFrame, sloped: DataFrame) -> DataFrame:
 
 def lid_quarters(chart: DataFrame, lid: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Quarters from start_q on with the lid's value, the close before and the band; complete says whether as_of has closed them."""
-    both = chart.select("symbol", "quarters", "n_done").join(lid.select("symbol", "anchors", "slope", "start_q"), "symbol")
-    rows = both.select("symbol", "n_done", "slope", "start_q", F.get("anchors", F.lit(0)).alias("a"), F.explode("quarters").alias("q"))
-    rows = rows.select("symbol", "n_done", "slope", "start_q", "q.q_idx", "q.high", "q.low", "q.close", (F.col("a.price") + F.col("slope") * (F.col("q.q_idx") - F.col("a.q_idx"))).alias("lid"))
+    both = chart.select("symbol", "quarters", "n_done", "n_all").join(lid.select("symbol", "family", "anchors", "slope", "value_at_last", "start_q"), "symbol")
+    rows = both.select("symbol", "n_done", "n_all", "family", "slope", "value_at_last", "start_q", F.get("anchors", F.lit(0)).alias("a"), F.explode("quarters").alias("q"))
+    # a fitted line need not go through its first anchor
+    at = F.when(F.col("family") == HUMAN, F.col("value_at_last") + F.col("slope") * (F.col("q.q_idx") - (F.col("n_all") - 1))).otherwise(F.col("a.price") + F.col("slope") * (F.col("q.q_idx") - F.col("a.q_idx")))
+    rows = rows.select("symbol", "n_done", "slope", "start_q", "q.q_idx", "q.high", "q.low", "q.close", at.alias("lid"))
     rows = rows.withColumn("before", F.lag("close").over(Window.partitionBy("symbol").orderBy("q_idx")))
     return peaks.escape_band(rows, p=p).filter("q_idx >= start_q AND lid > 0").withColumn("complete", F.col("q_idx") < F.col("n_done"))
 
 
+def review_lids(chart: DataFrame, points: DataFrame) -> DataFrame:
+    """points(symbol, day, price, role, lid_member), a reviewer's tops, nth orders those of one quarter -> each symbol's reviewed lid, as zone_lids() gives its own.
+
+    Points carry authority: no gate and no zone is asked. Those outside the chart or in a quarter that
+    isn't over fall away; a point without a price has its month's high. Breakout peaks are shown but
+    don't fit the line; where any point says that it is a member of the lid, only such points do. A
+    line needs two points in different quarters and a positive value at the end, else there is none."""
+    kind = "array<struct<q_idx:int,nth:int,price:double,prominence_pct:double,month:int,role:string,lid_member:boolean>>"
+    of = points.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("nth", "day", "price", "role", F.coalesce("lid_member", F.lit(False)).alias("lid_member")))).alias("points"))
+    x = chart.select("symbol", "months", "quarters", "n_done", "n_all").join(of, "symbol")
+    ym = lambda d: F.year(d) * 12 + F.month(d)
+
+    def placed(t):
+        month = F.try_element_at(F.filter("months", lambda m: ym(m["bar_date"]) == ym(t["day"])), F.lit(-1))
+        quarter = F.get(F.filter("quarters", lambda q: (F.year(q["bar_date"]) == F.year(t["day"])) & (F.quarter(q["bar_date"]) == F.quarter(t["day"]))), F.lit(0))
+        return F.struct(quarter["q_idx"].alias("q_idx"), t["nth"].alias("nth"), F.coalesce(t["price"], month["high"]).alias("price"), F.lit(0.0).alias("prominence_pct"), month["idx"].alias("month"), F.coalesce(t["role"], F.lit("major_top")).alias("role"), t["lid_member"].alias("lid_member"))
+
+    x = x.withColumn("explicit", F.exists("points", lambda t: t["lid_member"]))
+    x = x.withColumn("seen", F.array_sort(F.filter(F.transform("points", placed).cast(kind), lambda t: t["month"].isNotNull() & (t["q_idx"] < F.col("n_done")))))
+    top = lambda t: F.struct(t["q_idx"].alias("q_idx"), t["price"].alias("price"), t["prominence_pct"].alias("prominence_pct"), t["month"].alias("month"))
+    x = x.withColumns({"touches": F.transform(F.filter("seen", lambda t: t["role"] != PEAK), top), "anchors": F.transform(F.filter("seen", lambda t: (t["role"] != PEAK) & (~F.col("explicit") | t["lid_member"])), top)})
+    x = x.filter("n_all >= 3 AND size(anchors) >= 2").withColumns(_fit("anchors", "q_idx", "slope", "centre", "level"))
+    x = x.withColumn("value_at_last", F.col("level") + F.col("slope") * (F.col("n_all") - 1 - F.col("centre"))).filter("value_at_last > 0")
+    at = lambda t: F.col("level") + F.col("slope") * (t["q_idx"] - F.col("centre"))
+    square = F.aggregate("anchors", F.lit(0.0), lambda a, t: a + F.when(at(t) > 0, F.pow((t["price"] - at(t)) / at(t), F.lit(2))).otherwise(float("inf")))
+    return x.select(
+        "symbol", F.lit(HUMAN).alias("family"), "anchors", "touches", "slope", "value_at_last", (F.col("slope") * 400 / F.col("value_at_last")).alias("slope_pct_per_year"), (F.sqrt(square / F.size("anchors")) * 100).alias("fit_error_pct"), F.lit(0.0).alias("score"),
+        F.get("anchors", F.lit(1))["q_idx"].alias("established_q"), F.try_element_at("anchors", F.lit(-1))["q_idx"].alias("confirmed_q"), (F.try_element_at("anchors", F.lit(-1))["q_idx"] + 1).alias("start_q"), F.lit(None).cast("string").alias("reject_reason"), F.lit(1).alias("rank"),
+    )
+
+
+def _fit(points: str, x: str, slope: str, centre: str, level: str) -> dict[str, Column]:
+    """Columns of the least-squares line through an array of points: its slope, and a point on it. No slope where all points share one place."""
+    mean = lambda field: F.aggregate(points, F.lit(0.0), lambda a, t: a + t[field]) / F.size(points)
+    mx, my = mean(x), mean("price")
+    spread = F.aggregate(points, F.lit(0.0), lambda a, t: a + (t[x] - mx) * (t[x] - mx))
+    return {slope: F.aggregate(points, F.lit(0.0), lambda a, t: a + (t[x] - mx) * (t["price"] - my)) / F.nullif(spread, F.lit(0.0)), centre: mx, level: my}
+
+
+def escape_details(walk: DataFrame, state: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """lid_quarters() and breakout.assess()'s rows -> symbol, violations (completed quarters that closed over the band), retest_q and retest_holds.
+
+    A retest is the last quarter between lid and band while the escape that stands was under way."""
+    over = F.col("close") > F.col("lid") * (1 + F.col("band_pct") / 100)
+    x = walk.filter("complete").join(state.select("symbol", "state", "escape_q", "confirmed_q"), "symbol")
+    cooled = (F.col("state") != "sealed") & (F.col("q_idx") > F.col("escape_q")) & (F.col("q_idx") <= F.coalesce("confirmed_q", F.lit(2**31 - 1))) & ~over & (F.col("close") >= F.col("lid"))
+    holds = F.col("low") >= F.col("lid") * (1 - p.retest_tolerance_pct / 100)
+    return x.groupBy("symbol").agg(F.count_if(over).alias("band_violations"), F.max(F.when(cooled, F.struct("q_idx", holds.alias("holds")))).alias("r")).select("symbol", "band_violations", F.col("r.q_idx").alias("retest_q"), F.col("r.holds").alias("retest_holds"))
+
+
+def detected(months: DataFrame, as_of: Column, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Charts and the lids that the detector chooses."""
+    chart = written(mountains(charts(months, as_of), p), "charts")  # the bars are read once
+    return chart, written(chosen(zone_lids(chart, p), sloped_lids(chart, p)), "lids")
+
+
 def analysed(months: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame:
     """The whole analysis, one row for each symbol: its lid in months, touches, pullbacks, gates, grade, lifecycle and score."""
-    chart = written(mountains(charts(months, as_of), p), "charts")  # the bars are read once
-    lid = written(chosen(zone_lids(chart, p), sloped_lids(chart, p)), "lids")
+    return summary(measured(*detected(months, as_of, p), p))
+
+
+def reviewed(months: DataFrame, as_of: Column, points: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """detected(), where a symbol's reviewed lid takes the place of the detector's."""
+    chart, own = detected(months, as_of, p)
+    human = written(review_lids(chart, points), "review-lids")
+    return chart, own.join(human.select("symbol"), "symbol", "left_anti").select("symbol", *_LID).unionByName(human)
+
+
+def overridden(months: DataFrame, as_of: Column, points: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """analysed() with a reviewer's points (see review_lids()); effective says whose lid counts."""
+    return summary(measured(*reviewed(months, as_of, points, p), p)).withColumn("effective", F.when(F.col("family") == HUMAN, "human").otherwise("algorithm"))
+
+
+def measured(chart: DataFrame, lid: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Charts and one lid a symbol -> all that follows from the lid, one row for each symbol."""
     walk = lid_quarters(chart, lid, p)
     state = breakout.assess(walk.filter("complete"), p).select("symbol", "state", "escape_q", "confirmed_q", "via", "failed")
+    state = state.join(escape_details(walk, state, p), "symbol")
     partial = walk.filter("NOT complete").select("symbol", (F.col("close") > F.col("lid") * (1 + F.col("band_pct") / 100)).alias("over"))
     minor = peaks.swings(chart.select("symbol", F.explode("months").alias("m")).select("symbol", "m.*"), p).filter(F.col("prominence_pct") >= p.minor_prominence_pct)
     minor = minor.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "price"))).alias("minor"))
@@ -224,8 +300,11 @@ def analysed(months: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame
     x = x.withColumns({"n": F.size("months"), "state": F.coalesce("state", F.lit("sealed")), "close_now": F.element_at("months", -1)["close"]})
     # the line in months: through the months that gave the anchors their highs
     point = lambda t: F.struct(t["month"].alias("idx"), t["price"].alias("price"))
-    x = x.withColumns({"m0": F.get("anchors", F.lit(0))["month"], "p0": F.get("anchors", F.lit(0))["price"], "m1": F.get("anchors", F.lit(1))["month"], "p1": F.get("anchors", F.lit(1))["price"], "members": F.transform("touches", point)})
-    x = x.withColumn("per_month", (F.col("p1") - F.col("p0")) / F.nullif(F.col("m1") - F.col("m0"), F.lit(0)))
+    x = x.withColumns({"m0": F.get("anchors", F.lit(0))["month"], "p0": F.get("anchors", F.lit(0))["price"], "m1": F.get("anchors", F.lit(1))["month"], "p1": F.get("anchors", F.lit(1))["price"], "members": F.transform("touches", point), "fitted": F.transform("anchors", point)})
+    x = x.withColumns(_fit("fitted", "idx", "fit_slope", "fit_centre", "fit_level"))
+    human = F.col("family") == HUMAN
+    x = x.withColumn("per_month", F.when(human, F.col("fit_slope")).otherwise((F.col("p1") - F.col("p0")) / F.nullif(F.col("m1") - F.col("m0"), F.lit(0))))
+    x = x.withColumn("p0", F.when(human, F.col("fit_level") + F.col("fit_slope") * (F.col("m0") - F.col("fit_centre"))).otherwise(F.col("p0")))
     line = lambda i: F.col("p0") + F.col("per_month") * (i - F.col("m0"))
     x = x.withColumn("lid_now", line(F.col("n") - 1)).withColumn("lid_slope_pct", F.col("per_month") * 1200 / F.col("lid_now"))
     limit = F.when(F.col("n_done") == F.col("n_all"), F.col("n") - 1).otherwise(F.coalesce(F.get("quarters", F.col("n_done") - 1)["close_src_idx"], F.lit(-1)))
@@ -267,16 +346,23 @@ def analysed(months: DataFrame, as_of: Column, p: Params = DEFAULT) -> DataFrame
     )
     squeeze = F.when(F.col("depth_ratio").isNotNull(), clamp01(1 - F.col("depth_ratio"))).when(F.col("compressed"), 0.5).otherwise(0.0)
     score = 100 * (0.30 * clamp01(1 - F.abs("lid_slope_pct") / p.grade_c) + 0.20 * F.least(F.col("n_touches"), F.lit(5)) / 5 + 0.20 * squeeze + 0.15 * clamp01((F.col("proximity_pct") - 60) / 40) + 0.15 * clamp01(F.col("span_years") / 10))
-    shown = lambda c: F.when(has, c)
-    x = x.withColumn("lifecycle", lifecycle)
+    converging = F.coalesce((support_now > 0) & (rise * 1200 / support_now > F.col("lid_slope_pct")), F.lit(False))
+    position = F.when(F.col("proximity_pct") < p.lid_band_pct[0], "below_lid_band").when(F.col("proximity_pct") > p.lid_band_pct[1], "above_lid_band").otherwise("within_lid_band")
+    graded = F.when(inside & F.col("mature") & ~gate & (F.col("state") != "broken_out"), F.col("lid_grade"))
+    return x.withColumns({"has": F.coalesce(has, F.lit(False)), "lifecycle": lifecycle, "converging": converging, "price_position": position, "graded": graded, "total": F.when(has, F.round(score, 1)).otherwise(0.0), "depth_rule": shrinks})
+
+
+def summary(x: DataFrame) -> DataFrame:
+    """measured() -> what an analysis shows."""
+    shown = lambda c: F.when(F.col("has"), c)
     status = F.create_map(*[F.lit(v) for pair in (("no_structure", "no_structure"), ("forming", "basing"), ("pre_breakout", "coiling"), ("breaking_out", "breaking_out"), ("post_breakout", "broken_out")) for v in pair])
     return x.select(
-        "symbol", "lifecycle", status[F.col("lifecycle")].alias("status"), shown(F.when(inside & F.col("mature") & ~gate & (F.col("state") != "broken_out"), F.col("lid_grade"))).alias("grade"), shown(F.col("lid_grade")).alias("lid_grade"),
+        "symbol", "lifecycle", status[F.col("lifecycle")].alias("status"), shown(F.col("graded")).alias("grade"), shown(F.col("lid_grade")).alias("lid_grade"),
         shown(F.col("family")).alias("family"), shown(F.col("state")).alias("breakout_state"), shown(F.coalesce(F.col("over") & (F.col("state") == "sealed"), F.lit(False))).alias("provisional_escape"),
         shown(F.round("lid_now", 4)).alias("lid_value"), shown(F.round("lid_slope_pct", 2)).alias("lid_slope_pct_per_year"), shown(F.round("proximity_pct", 2)).alias("proximity_pct"),
-        shown(F.when(F.col("proximity_pct") < p.lid_band_pct[0], "below_lid_band").when(F.col("proximity_pct") > p.lid_band_pct[1], "above_lid_band").otherwise("within_lid_band")).alias("price_position"),
+        shown(F.col("price_position")).alias("price_position"),
         shown(F.col("n_touches")).alias("touch_count"), shown(F.round("span_years", 2)).alias("span_years"), shown(F.col("depths")).alias("pullback_depths_pct"), shown(F.round("depth_ratio", 3)).alias("last_depth_ratio"),
-        shown(F.col("compressed")).alias("compression_ok"), shown(F.col("pressed")).alias("pressed_at_lid"), shown(F.coalesce((support_now > 0) & (rise * 1200 / support_now > F.col("lid_slope_pct")), F.lit(False))).alias("support_converging"),
+        shown(F.col("compressed")).alias("compression_ok"), shown(F.col("pressed")).alias("pressed_at_lid"), shown(F.col("converging")).alias("support_converging"),
         shown(F.round("base_r2", 3)).alias("base_trend_r2"), shown(F.round("volume_ratio", 3)).alias("volume_contraction_ratio"), shown(F.col("violations")).alias("violation_count"),
-        "mature", F.when(has, F.round(score, 1)).otherwise(0.0).alias("coil_score"),
+        "mature", F.col("total").alias("coil_score"),
     )

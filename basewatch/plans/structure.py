@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basewatch.operators import bars as B
-from basewatch.operators import breakout, lids, peaks, screen
+from basewatch.operators import anatomy, breakout, gold, lids, peaks, screen
 from basewatch.operators import reviews as R
 from basewatch.plans.events import _LOG, _log
 from basewatch.plans.price import _NUMBERED, _QUARTERS, _SWINGS, AS_OF, _clean, _r
@@ -221,3 +221,48 @@ def _(spark, d):
 @query("set_first_seen_items", "SELECT o_custkey AS ticker, min(o_orderkey) AS ordinal FROM orders GROUP BY 1")
 def _(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.min("o_orderkey").alias("ordinal"))
+
+
+def _flat_structs(df):
+    """Structs as columns named by both names, joined by an underscore."""
+    out = []
+    for f in df.schema.fields:
+        out += [F.col(f"{f.name}.{g}").alias(f"{f.name}_{g}") for g in f.dataType.names] if f.dataType.typeName() == "struct" else [F.col(f.name)]
+    return df.select(*out)
+
+
+@query("det_anatomy")
+def _(spark, d):
+    return _flat_structs(anatomy.anatomy(lids.measured(*lids.detected(_clean(spark, d), _as_of()))))
+
+
+def _reviewed_points(spark, d):
+    """A reviewer's tops: every 37th month, some without a price, some as breakout peaks, in some symbols only flagged ones in the lid."""
+    i, n = F.col("idx"), F.length("symbol")
+    some = _clean(spark, d).filter((i % 37 == 11) & (n % 3 > 0))
+    return some.select("symbol", i.alias("nth"), F.col("bar_date").alias("day"), F.when(i % 4 > 0, F.col("high") * 1.01).alias("price"), F.when(i % 5 == 0, "breakout_peak").otherwise("major_top").alias("role"), F.when(n % 2 == 0, i % 3 == 0).alias("lid_member"))
+
+
+@query("det_review_lid", f"""WITH {DILATED_SQL}{_QUARTERS}, lq AS (SELECT symbol, max(q_idx) AS last FROM qq GROUP BY 1), nd AS (SELECT qq.symbol, last + 1 AS n_all, CASE WHEN last_month % 3 = 0 AND last_day(bar_date) <= DATE '{AS_OF}' THEN last + 1 ELSE last END AS n_done FROM qq JOIN lq ON qq.symbol = lq.symbol AND q_idx = last),
+ pt AS (SELECT c.symbol, c.idx, q_idx, CASE WHEN idx % 4 > 0 THEN c.high * 1.01 ELSE c.high END AS price, length(c.symbol) % 2 = 0 AND idx % 3 = 0 AS member FROM c JOIN qq ON qq.symbol = c.symbol AND qq.year = year(c.bar_date) AND qq.qtr = quarter(c.bar_date) JOIN nd ON nd.symbol = c.symbol WHERE idx % 37 = 11 AND length(c.symbol) % 3 > 0 AND idx % 5 > 0 AND q_idx < n_done),
+ ex AS (SELECT symbol, bool_or(length(symbol) % 2 = 0 AND idx % 3 = 0) AS explicit FROM c WHERE idx % 37 = 11 GROUP BY 1), an AS (SELECT pt.* FROM pt JOIN ex USING (symbol) WHERE NOT explicit OR member),
+ f AS (SELECT symbol, count(*) AS anchors, regr_slope(price, q_idx) AS s, regr_intercept(price, q_idx) AS b, max(q_idx) AS last_q FROM an GROUP BY 1 HAVING count(*) >= 2), v AS (SELECT f.*, b + s * (n_all - 1) AS here FROM f JOIN nd USING (symbol) WHERE b + s * (n_all - 1) > 0),
+ e AS (SELECT symbol, sqrt(avg(pow((price - (b + s * q_idx)) / (b + s * q_idx), 2))) * 100 AS err, min(b + s * q_idx) AS low FROM an JOIN v USING (symbol) GROUP BY 1)
+ SELECT symbol, anchors::INT AS anchors, round(s, 6) AS slope, round(here, 4) AS value_at_last, round(s * 400 / here, 4) AS slope_pct_per_year, CASE WHEN low > 0 THEN round(err, 4) END AS fit_error_pct, (last_q + 1)::INT AS start_q FROM v JOIN e USING (symbol)""")
+def _(spark, d):
+    lid = lids.review_lids(lids.charts(_clean(spark, d), _as_of()), _reviewed_points(spark, d))
+    error = F.when(F.col("fit_error_pct") < float("inf"), F.round("fit_error_pct", 4)).alias("fit_error_pct")
+    return lid.select("symbol", F.size("anchors").alias("anchors"), F.round("slope", 6).alias("slope"), F.round("value_at_last", 4).alias("value_at_last"), F.round("slope_pct_per_year", 4).alias("slope_pct_per_year"), error, F.col("start_q").cast("int").alias("start_q"))
+
+
+@query("det_review_override")
+def _(spark, d):
+    return lids.overridden(_clean(spark, d), _as_of(), _reviewed_points(spark, d))
+
+
+@query("eval_anatomy_phases")
+def _(spark, d):
+    """How the phases that an analysis saw a year and a half ago agree with those it sees now."""
+    then = F.lit("2012-06-30").cast("date")
+    of = lambda months, at: anatomy.phases(anatomy.anatomy(lids.measured(*lids.detected(months, at))))
+    return gold.phase_metrics(of(_clean(spark, d), _as_of()), of(B.clean(dilated_bars(spark, d), then), then))
