@@ -112,15 +112,14 @@ def matched_dates(points: DataFrame, tolerance: int) -> DataFrame:
 BLOCK = 128
 
 
-def bootstrap(counts: DataFrame, samples: int = 10_000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """counts(metric, setup, good, n), one row for each setup -> point and percentile interval of sum(good) / sum(n) under resampled setups.
-
-    A replicate draws as many setups as there are, with replacement; any replicate without n leaves
-    the bounds null. Setups are dealt into blocks by hash. How many of a replicate's draws fall to a
-    block follows from binomial splits down a binary tree over the blocks, each seeded by its metric
-    and node, so that every task works out its own blocks' shares; the replicates are then added up
-    over blocks. The draws have the law of the published figures' but aren't the same."""
-    counts = counts.select("metric", "setup", F.col("good").cast("long").alias("good"), F.col("n").cast("long").alias("n"))
+def replicates(counts: DataFrame, values: list[str], samples: int, seed: int) -> DataFrame:
+    """counts(metric, setup, values), one row for each setup -> metric, replicate and the sums of the values over the setups that it draws.
+
+    A replicate draws as many setups as there are, with replacement, and all values see the same draws.
+    Setups are dealt into blocks by hash. How many of a replicate's draws fall to a block follows from
+    binomial splits down a binary tree over the blocks, each seeded by its metric and node, so that
+    every task works out its own blocks' shares; the replicates are then added up over blocks."""
+    counts = counts.select("metric", "setup", *[F.col(v).cast("long").alias(v) for v in values])
     most = counts.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, most / BLOCK))))
     dealt = counts.withColumn("block", F.pmod(F.xxhash64("setup"), F.lit(1 << depth)))
@@ -130,7 +129,7 @@ def bootstrap(counts: DataFrame, samples: int = 10_000, seed: int = 0, confidenc
     # each block's way from the root: the setups below each node on it
     way = nodes.join(whole, F.col("metric").eqNullSafe(F.col("m")) & (F.col("level") == F.col("l")) & (F.col("node") == F.col("k")))
     way = way.groupBy(F.col("metric").alias("m"), F.col("block").alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "setups"))), lambda x: x["setups"]).alias("way"))
-    rows = dealt.join(way, F.col("metric").eqNullSafe(F.col("m")) & (F.col("block") == F.col("b"))).select("metric", "setup", "good", "n", "block", "way")
+    rows = dealt.join(way, F.col("metric").eqNullSafe(F.col("m")) & (F.col("block") == F.col("b"))).select("metric", "setup", *values, "block", "way")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("setup")
@@ -144,28 +143,67 @@ def bootstrap(counts: DataFrame, samples: int = 10_000, seed: int = 0, confidenc
             left = here if node % 2 == 0 else above - here
             share = rng(0, level, node >> 1).binomial(drawn, left / above)
             drawn = share if node % 2 == 0 else drawn - share
-        good, n, r = pdf["good"].to_numpy(), pdf["n"].to_numpy(), rng(1, block)
-        out = np.zeros((2, samples), dtype="int64")
-        step = max(1, 2_000_000 // max(1, len(n)))
+        own, r = [pdf[v].to_numpy() for v in values], rng(1, block)
+        out = np.zeros((len(values), samples), dtype="int64")
+        step = max(1, 2_000_000 // max(1, len(pdf)))
         for at in range(0, samples, step):
             k = drawn[at : at + step]
-            picked, ends = r.integers(len(n), size=int(k.sum())), np.cumsum(k)
-            for i, values in enumerate((good, n)):
-                sums = np.concatenate([[0], np.cumsum(values[picked])])
+            picked, ends = r.integers(len(pdf), size=int(k.sum())), np.cumsum(k)
+            for i, v in enumerate(own):
+                sums = np.concatenate([[0], np.cumsum(v[picked])])
                 out[i, at : at + step] = sums[ends] - sums[ends - k]
-        return pd.DataFrame({"metric": metric, "replicate": np.arange(samples), "good": out[0], "n": out[1]})
+        return pd.DataFrame({"metric": metric, "replicate": np.arange(samples), **dict(zip(values, out))})
 
     kind = counts.schema["metric"].dataType.simpleString()
     # small rows, much work: as many tasks as a shuffle has, which adaptive execution doesn't merge
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = rows.repartition(tasks, "metric", "block").groupBy("metric", "block").applyInPandas(run, f"metric {kind}, replicate long, good long, n long")
-    drawn = drawn.groupBy("metric", "replicate").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).select("metric", (F.col("good") / F.nullif(F.col("n"), F.lit(0))).alias("value"))
+    drawn = rows.repartition(tasks, "metric", "block").groupBy("metric", "block").applyInPandas(run, f"metric {kind}, replicate long, " + ", ".join(f"{v} long" for v in values))
+    return drawn.groupBy("metric", "replicate").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def _bounds(values: DataFrame, confidence: float) -> DataFrame:
+    """values(metric, value), a row a replicate -> m and b, the percentile interval; any replicate without a value leaves it null."""
     tails = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
-    bounds = drawn.groupBy(F.col("metric").alias("m")).agg(F.when(F.count("value") == F.count("*"), F.percentile("value", tails)).alias("b"))
-    points = counts.groupBy("metric").agg((F.sum("good") / F.nullif(F.sum("n"), F.lit(0))).alias("point"), F.count("*").alias("setups"))
-    bound = lambda i: F.when(F.col("setups") > 1, F.col("b")[i])
-    return points.join(bounds, F.col("metric").eqNullSafe(F.col("m")), "left").select("metric", "point", bound(0).alias("low"), bound(1).alias("high"), "setups")
+    return values.groupBy(F.col("metric").alias("m")).agg(F.when(F.count("value") == F.count("*"), F.percentile("value", tails)).alias("b"))
 
 
-def rate(good: Column, n: Column) -> Column:
-    return F.round(good / F.nullif(n, F.lit(0)), 4)
+def bootstrap(counts: DataFrame, samples: int = 10_000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """counts(metric, setup, good, n), one row for each setup -> point and percentile interval of sum(good) / sum(n) under resampled setups.
+
+    Any replicate without n leaves the bounds null. The draws (see replicates()) have the law of the
+    published figures' but aren't the same."""
+    drawn = replicates(counts, ["good", "n"], samples, seed).select("metric", (F.col("good") / F.nullif(F.col("n"), F.lit(0))).alias("value"))
+    points = counts.groupBy("metric").agg((F.sum("good") / F.nullif(F.sum("n"), F.lit(0))).alias("point"), F.count("*").alias("setups"))
+    bound = lambda i: F.when(F.col("setups") > 1, F.col("b")[i])
+    return points.join(_bounds(drawn, confidence), F.col("metric").eqNullSafe(F.col("m")), "left").select("metric", "point", bound(0).alias("low"), bound(1).alias("high"), "setups")
+
+
+#: The six gates, in order. Fixed values.
+GATES = ("top_f1", "lifecycle_macro_f1", "action_precision", "false_action_rate", "estimated_human_intervention_rate", "critical_intervention_rate")
+
+
+def gate_confidence(items: DataFrame, labels: tuple[str, ...] | None = None, samples: int = 10_000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """items(setup, expected, predicted (lifecycles), tp, fp, fn (of tops), expected_action, predicted_action, false_action, correction, critical) -> gate, point, low, high, setups.
+
+    All six gates are read off the same resampled setups. The universe of lifecycles is fixed before:
+    the distinct ones of all items unless named, a vocabulary of a few; one that a replicate lacks
+    counts as zero. A gate that any replicate leaves undefined, or a single setup, has no bounds."""
+    if labels is None:
+        both = items.select(F.explode(F.array("expected", "predicted")).alias("x")).filter("x IS NOT NULL").distinct()
+        labels = tuple(sorted(r[0] for r in both.collect()))
+    n = lambda test: F.coalesce(test, F.lit(False)).cast("long")
+    e, p = F.col("expected"), F.col("predicted")
+    own = {"tp": F.col("tp"), "fp": F.col("fp"), "fn": F.col("fn"), "acts": n(F.col("predicted_action") == "actionable"), "right": n((F.col("predicted_action") == "actionable") & (F.col("expected_action") == "actionable")), "false": n(F.col("false_action")), "fixed": n(F.col("correction")), "grave": n(F.col("critical")), "items": F.lit(1)}
+    for i, x in enumerate(labels):
+        hit, said = n(e == x), n(p == x)
+        own |= {f"tp{i}": hit * said, f"fp{i}": said * (1 - hit), f"fn{i}": hit * (1 - said)}
+    counts = items.groupBy("setup").agg(*[F.sum(v.cast("long")).alias(k) for k, v in own.items()]).withColumn("metric", F.lit("gates"))
+    f1 = lambda i="": 2 * F.col(f"tp{i}") / F.nullif(2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}"), F.lit(0))
+    over = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    macro = sum((F.coalesce(f1(i), F.lit(0.0)) for i in range(len(labels))), F.lit(0.0)) / len(labels) if labels else F.lit(None).cast("double")
+    values = dict(zip(GATES, (f1(), macro, over("right", "acts"), over("false", "acts"), over("fixed", "items"), over("grave", "items")), strict=True))
+    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")
+    points = counts.agg(*[F.sum(k).alias(k) for k in own], F.count("*").alias("setups")).filter("setups > 0").select("setups", spread).select("setups", "x.*")
+    drawn = replicates(counts, list(own), samples, seed).select(spread).select("x.*")
+    bound = lambda i: F.when(F.col("setups") > 1, F.col("b")[i])
+    return points.join(_bounds(drawn, confidence), F.col("metric") == F.col("m"), "left").select(F.col("metric").alias("gate"), F.col("value").alias("point"), bound(0).alias("low"), bound(1).alias("high"), "setups")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from basewatch.operators import evaluate as E
+from basewatch.operators import release as R
 from basewatch.operators import structures as S
 from basewatch.plans.registry import registry
 from basewatch.sources.tables import table
@@ -134,3 +136,50 @@ def _labels(spark, d):
  SELECT l.c AS episode, arg_min(fault, (g, f.nth, p)) AS fault, (SELECT string_agg(fault, ',' ORDER BY p) FROM (SELECT DISTINCT fault, p FROM f z WHERE z.c = l.c)) AS faults FROM l LEFT JOIN f ON f.c = l.c GROUP BY l.c""")
 def _(spark, d):
     return S.label_contract(*_labels(spark, d))
+
+
+@query("eval_gates")
+def _(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    state = lambda x: F.element_at(F.array(*[F.lit(v) for v in ("forming", "pre_breakout", "breaking_out", "post_breakout")]), (x % 4 + 1).cast("int"))
+    items = table(spark, d, "orders").select(
+        c.alias("setup"), state(k).alias("expected"), state(k + F.when(k % 5 == 0, 1).otherwise(0)).alias("predicted"), (k % 4).alias("tp"), (k % 3).alias("fp"), (k % 2).alias("fn"), F.when(k % 6 == 0, "actionable").otherwise("watch").alias("expected_action"),
+        F.when(k % 6 < 2, "actionable").otherwise("avoid").alias("predicted_action"), (k % 6 == 1).alias("false_action"), (k % 7 == 0).alias("correction"), (k % 21 == 0).alias("critical"),
+    )
+    g = E.gate_confidence(items)
+    return g.select("gate", *[F.round(x, 6).alias(x) for x in ("point", "low", "high")], "setups")
+
+
+# An item's payload as text, with forbidden keys at depths one to six.
+_PAYLOAD = """o AS (SELECT o_custkey AS session, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders),
+ j AS (SELECT *, '{"ticker": "T' || k || '", "bars": [{"close": 1.5, "note": {"a": [[{"' || CASE WHEN k % 31 = 0 THEN 'lid-grade' ELSE 'x' END || '": null}]]}}, {"' || CASE WHEN k % 23 = 0 THEN 'majorHighs' ELSE 'highs' END || '": []}], "' || CASE WHEN k % 41 = 0 THEN 'coilScore' ELSE 'score' END || '": {"text": "grade", "' || CASE WHEN k % 37 = 0 THEN 'grade' ELSE 'rank' END || '": 3}}' AS payload FROM o)"""
+
+
+def _payloads(spark, d):
+    k = F.col("k")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("position"))
+    key = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    text = F.concat(
+        F.lit('{"ticker": "T'), k.cast("string"), F.lit('", "bars": [{"close": 1.5, "note": {"a": [[{"'), key(31, "lid-grade", "x"), F.lit('": null}]]}}, {"'), key(23, "majorHighs", "highs"), F.lit('": []}], "'), key(41, "coilScore", "score"), F.lit('": {"text": "grade", "'), key(37, "grade", "rank"), F.lit('": 3}}'),
+    )
+    return o.withColumn("payload", text)
+
+
+@query("release_key_scan", f"WITH {_PAYLOAD} SELECT k AS id, replace(t.fullkey, '\"', '') AS path FROM j, json_tree(j.payload) t WHERE t.key IN ('lid-grade', 'majorHighs', 'coilScore', 'grade')")
+def _(spark, d):
+    return R.leaks(_payloads(spark, d), "k", "payload")
+
+
+@query("release_verify", f"""WITH {_PAYLOAD}, i AS (SELECT *, 'T' || k AS ticker, k % 3 > 0 AS reviewable, CASE WHEN k % 53 = 0 THEN 'short' ELSE sha256(k::VARCHAR) END AS hash, CASE WHEN k % 59 = 0 THEN NULL WHEN k % 61 = 0 THEN 's0' ELSE 's' || k END AS sample, k % 31 = 0 OR k % 23 = 0 OR k % 41 = 0 OR k % 37 = 0 AS leak FROM j WHERE k % 67 != 0),
+ m AS (SELECT session, position, CASE WHEN k % 71 = 0 THEN 'U' ELSE 'T' || k END AS ticker, (k % 3 > 0) != (k % 73 = 0) AS reviewable FROM o),
+ x AS (SELECT coalesce(i.session, m.session) AS session, i.k IS NOT NULL AS here, m.session IS NOT NULL AS there, i.ticker != m.ticker AS o, i.reviewable != m.reviewable AS r, i.reviewable, hash, sample, leak, count(sample) OVER (PARTITION BY i.session, sample) AS uses FROM i FULL JOIN m ON i.session = m.session AND i.position = m.position),
+ g AS (SELECT session, count(*) FILTER (here) AS n_items, count(*) FILTER (here AND reviewable) AS n_reviewable, bool_or(here != there) AS a, bool_or(here AND there AND o) AS b, bool_or(here AND there AND r) AS c, bool_or(here AND length(hash) != 64) AS d, bool_or(here AND (uses > 1 OR (reviewable AND sample IS NULL))) AS e, bool_or(here AND leak) AS f FROM x GROUP BY 1)
+ SELECT session, n_items, n_reviewable, nullif(concat_ws(',', CASE WHEN a THEN 'count' END, CASE WHEN b THEN 'order' END, CASE WHEN c THEN 'reviewability' END, CASE WHEN d THEN 'bars_hash' END, CASE WHEN e THEN 'sample_id' END, CASE WHEN f THEN 'leak' END), '') AS faults FROM g""")
+def _(spark, d):
+    k = F.col("k")
+    p, name = _payloads(spark, d), F.concat(F.lit("T"), k.cast("string"))
+    items = p.filter(k % 67 != 0).select(
+        "session", "position", name.alias("ticker"), (k % 3 > 0).alias("reviewable"), F.when(k % 53 == 0, "short").otherwise(F.sha2(k.cast("string"), 256)).alias("bars_hash"),
+        F.when(k % 59 == 0, None).when(k % 61 == 0, "s0").otherwise(F.concat(F.lit("s"), k.cast("string"))).alias("sample_id"), "payload",
+    )
+    return R.release_faults(items, p.select("session", "position", F.when(k % 71 == 0, "U").otherwise(name).alias("ticker"), ((k % 3 > 0) != (k % 73 == 0)).alias("reviewable")))

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,19 @@ def test_a_broken_bar_withdraws_its_quarter(spark, bars, tmp_path):
     assert [r.withdrawn for r in store.changes("quarters").filter("batch = 1").collect()] == [True]
     corrections.merge(store, one.filter(F.col("bar_date") == day).withColumn("version", F.lit(3)), 2)
     assert corrections.corrected_quarters(store).count() == n
+
+
+def test_one_step_equals_the_fold(spark):
+    """Random quarters around a level lid, enough of them that escapes fail, are held, and are confirmed both ways."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for s in range(300):
+        close, before, machine = 95.0, None, dict.fromkeys(breakout.FIELDS) | breakout.FIRST
+        for q in range(40):
+            close = max(50.0, close * (1 + rng.normal(0.005, 0.06)))
+            x = {"q_idx": q, "high": close * (1 + abs(rng.normal(0, 0.02))), "low": close * (1 - abs(rng.normal(0, 0.02))), "close": close, "lid": 100.0, "band_pct": 3.0}
+            rows.append((f"s{s}", *x.values()))
+            machine, before = breakouts.step(machine, x | {"before": before}), close
+        want[f"s{s}"] = tuple(machine[k] for k in ("state", "escape_q", "confirmed_q", "via", "failed", "consecutive"))
+    got = breakout.assess(spark.createDataFrame(rows, "symbol string, q_idx int, high double, low double, close double, lid double, band_pct double")).collect()
+    assert {r.symbol: tuple(r)[1:] for r in got} == want
+    assert {w[3] for w in want.values()} == {None, "persistence", "retest_continuation"} and max(w[4] for w in want.values()) > 1
