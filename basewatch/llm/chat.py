@@ -4,20 +4,25 @@ Conversations are dealt to packs by their first turn, so that those which share
 meet; each pack merges them into a forest whose nodes are turns. The pack's text holds each
 node's segment once, depth-first. A segment has its interval in the pack, a position that
 continues its parent's (so that every conversation counts its positions as if it stood alone),
-and the intervals of its ancestors, which are what it may attend to besides itself.
-
-A first turn that very many conversations share is dealt by a hash of the whole conversation to
-as many packs as its number of distinct conversations asks for; its segment then stands once in
-each of them. Equal conversations are one path, and are put apart again by a join at the end. So
-no task gets more than about `per_pack` distinct conversations, whatever the input's shape. A
-conversation itself, like a text, has to fit into a task.
+its parent, and the intervals of its ancestors, which are what it may attend to besides itself;
+ancestors that stand side by side are one interval, so that a conversation that shares nothing has
+one for each segment, however many turns it has.
+
+Initial turns that more than `per_pack` conversations share are split where the conversations part:
+a conversation goes to the pack of its shortest beginning that so many at most have in common (or,
+where all its beginnings have more, of itself). All turns from there on are merged; only the few
+before it stand once in each of the packs. Equal conversations are one path, and are put apart again
+by a join at the end. So no task gets more than about `per_pack` distinct conversations, whatever
+the input's shape. A conversation itself, like a text, has to fit into a task. Positions and
+intervals count characters.
 
 Template: <|turn|>role<|text|>text<|end|>. Control strings inside roles and texts get a backslash
 after their first character (one more where there are some), and lose it when read back. The loss
 mask covers the texts of assistant turns, without marks.
 
 Defined cases: null text and null role count as empty; turns sort with null first, and equal
-turns by role and text; a repeated row is a turn of its own; null conv_id is one conversation.
+turns by role and text; a repeated row is a turn of its own; rows with a null conv_id are one
+conversation; an empty table gives an empty one; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -85,7 +90,8 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
         segments.append({"parent": parent, "start": start, "end": end, "position": position, "loss_start": text_start if nodes[node][0] == MASKED else end, "loss_end": text_start + len(text) if nodes[node][0] == MASKED else end, "ancestors": above})
         out.append(segment)
         length = end
-        below = [*above, {"start": start, "end": end}]
+        joins = above and above[-1]["end"] == start
+        below = [*above[:-1], {"start": above[-1]["start"], "end": end}] if joins else [*above, {"start": start, "end": end}]
         stack += [(n, place[node], position + len(segment), below) for _, n in sorted(children[node].items(), reverse=True)]
     return pd.DataFrame([{"pack": int(pdf["pack"].iloc[0]), "formatted": "".join(out), "segments": segments, "leaves": [{"path": p, "segment": place[n]} for p, n in leaves if n >= 0]}])
 
@@ -95,13 +101,15 @@ _PACK = "pack long, formatted string, segments array<struct<parent: int, start:
 
 def pack(conversations: DataFrame, per_pack=PER_PACK) -> DataFrame:
     """conversations(path, turns), as paths() gives them -> packs."""
-    distinct = conversations.groupBy("path").agg(F.first("turns").alias("turns")).withColumn("root", F.xxhash64(F.element_at("turns", 1)))
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    begins = F.aggregate("turns", F.array().cast("array<long>"), lambda a, t: F.concat(a, F.array(F.xxhash64(last(a), t["role"], t["text"]))))
+    distinct = conversations.groupBy("path").agg(F.first("turns").alias("turns")).withColumn("begins", begins)
     distinct = cut(distinct, "paths")
-    roots = distinct.groupBy("root").agg(F.count("*").alias("n"))
+    shared = distinct.select("path", F.posexplode("begins").alias("depth", "begin"))
+    small = shared.groupBy("begin").agg(F.count("*").alias("n")).filter(F.col("n") <= per_pack).select("begin")
+    own = shared.join(small, "begin").groupBy("path").agg(F.min_by("begin", "depth").alias("begin"))
     n_packs = max(1, -(-distinct.count() // per_pack))
-    salts = F.ceil(F.col("n") / per_pack)
-    dealt = distinct.join(roots, "root").withColumn("salt", F.pmod(F.xxhash64("path"), salts))
-    dealt = dealt.select("path", "turns", F.pmod(F.xxhash64("root", "salt"), F.lit(n_packs)).alias("pack"))
+    dealt = distinct.select("path", "turns").join(own, "path", "left").select("path", "turns", F.pmod(F.xxhash64(F.coalesce("begin", F.xxhash64("path"))), F.lit(n_packs)).alias("pack"))
     return dealt.groupBy("pack").applyInPandas(_tree, _PACK)
 
 
@@ -109,11 +117,13 @@ def _read(pdfs):
     for pdf in pdfs:
         rows = []
         for formatted, segments, leaves in zip(pdf["formatted"], pdf["segments"], pdf["leaves"], strict=True):
-            # each path: its last segment, after the segments that this may attend to
-            ends = {s["start"]: s for s in segments}
+            # each path: its last segment, after those that its parents lead to
             for leaf in leaves:
-                last = segments[leaf["segment"]]
-                own = [ends[a["start"]] for a in last["ancestors"]] + [last]
+                own, at = [], leaf["segment"]
+                while at >= 0:
+                    own.append(segments[at])
+                    at = segments[at]["parent"]
+                own.reverse()
                 text = "".join(formatted[s["start"] : s["end"]] for s in own)
                 turns = [(unescape(r), unescape(t)) for r, t in _SEGMENT.findall(text)]
                 loss = "".join(unescape(formatted[s["loss_start"] : s["loss_end"]]) for s in own)
