@@ -139,3 +139,10 @@ def test_whole_labels_and_first_faults(spark):
     assert contract(spark, events=late) == [("no_active_breakout", "events_out_of_order,no_active_breakout")]
     deep = [("n0", None, "parent", "primary"), *[(f"n{i}", f"n{i - 1}", "parent_child" if i < 39 else "child", "primary") for i in range(1, 40)]]
     assert contract(spark, labels=[label(active="n39")], tree=deep) == [(None, None)]
+
+
+def test_bottoms_are_matched_by_role(spark):
+    rows = [(1, "major_bottom", date(2020, 1, 5)), (1, "major_bottom", date(2021, 1, 5)), (1, "undercut", date(2020, 5, 1)), (1, "undercut", date(2020, 5, 1)), (2, "outlier", date(2020, 5, 1)), (3, "major_bottom", None)]
+    lows = [(1, date(2020, 4, 1)), (1, date(2022, 1, 1)), (2, date(2020, 5, 1))]
+    got = S.bottom_metrics(spark.createDataFrame(rows, "episode int, role string, day date"), spark.createDataFrame(lows, "episode int, day date")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "major_bottom", True, 2, 1, 1, 1), (1, "undercut", False, 1, None, None, None), (2, "major_bottom", True, 0, 0, 1, 0), (2, "outlier", False, 1, None, None, None)], key=str)
