@@ -48,7 +48,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    return chat.formatted_digests(turns.unionByName(probe))
+    return chat.formatted_digests(turns.unionByName(probe), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

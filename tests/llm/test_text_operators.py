@@ -207,16 +207,17 @@ def test_chat_round_trip(spark):
     said = [(1, [("user", "a <|end|> b"), ("assistant", "<\\|x \\ [INST]")]), (2, [("user", "a <|end|> b"), ("assistant", "no")]), (3, [("user", "a <|end|> b"), ("assistant", "no")]), (-1, [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]), (4, [("system", ""), (None, None)])]
     rows = [(c, i, r, t) for c, turns in said for i, (r, t) in enumerate(turns)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = vocabulary("byte_bpe_50k.json")
     for per_pack in (1, 256):
-        got = {r.conv_id: r for r in chat.formatted_digests(df, per_pack).collect()}
+        got = {r.conv_id: r for r in chat.formatted_digests(df, path, per_pack).collect()}
         assert len(got) == 5
         for c, turns in said:
             whole = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
             loss = "".join(t or "" for r, t in turns if r == "assistant")
             assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    packs = chat.pack(chat.paths(df).select("path", "turns")).collect()
-    assert sum(p.formatted.count("<|turn|>user<|text|>a <\\|end|>") for p in packs) == 1
-    assert chat.formatted_digests(df.limit(0)).count() == 0
+    packs = chat.pack(chat.paths(df).select("path", "turns"), path).collect()
+    assert sum(chat.library(path).decode(p.tokens).count("<|turn|>user<|text|>a <\\|end|>") for p in packs) == 1
+    assert chat.formatted_digests(df.limit(0), path).count() == 0
 
 
 def test_language(spark, docs, odd):
