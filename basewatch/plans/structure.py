@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from basewatch.operators import anatomy, breakout, gold, lids, peaks, roles, screen
 from basewatch.operators import bars as B
-from basewatch.operators import anatomy, breakout, gold, lids, peaks, screen
 from basewatch.operators import reviews as R
 from basewatch.plans.events import _LOG, _log
 from basewatch.plans.price import _NUMBERED, _QUARTERS, _SWINGS, AS_OF, _clean, _r
@@ -79,6 +79,11 @@ def _(spark, d):
     return lids.analysed(_clean(spark, d), _as_of())
 
 
+@query("det_window_roles")
+def _(spark, d):
+    return roles.window_roles(_clean(spark, d))
+
+
 @query("det_as_of_replay")
 def _(spark, d):
     cut = F.lit("1997-12-31").cast("date")
