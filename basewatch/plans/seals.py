@@ -1,13 +1,15 @@
-"""Registered queries over sealed snapshots, with the SQL that they equal."""
+"""Registered queries over sealed snapshots and the log of reviews, with the SQL that they equal."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from basewatch.functions import canonical
-from basewatch.operators import sealed
+from basewatch.operators import reviews, sealed
+from basewatch.plans.events import _LOG, _log
 from basewatch.plans.registry import registry
-from basewatch.sources.tables import MONTHLY_SQL, monthly_bars, written
+from basewatch.sources import review_log
+from basewatch.sources.tables import MONTHLY_SQL, folder, monthly_bars, table, written
 
 query, QUERIES, SQL = registry()
 
@@ -44,3 +46,26 @@ def _snapshots(spark, d):
 def _(spark, d):
     c = sealed.checked(_snapshots(spark, d), *_WHO)
     return c.select("symbol", "fault", F.size("bars").cast("long").alias("n_bars"), "provider_rows_sha256", "monthly_bars_sha256", "snapshot_sha256")
+
+
+@query("sink_review_log", f"WITH {_LOG} SELECT row_number() OVER (ORDER BY decision = 'capture', ts, id) AS id, id AS event, ticker, decision, price FROM lg")
+def _(spark, d):
+    log, path = _log(spark, d).withColumnRenamed("id", "event"), folder(spark, "review-log")
+    decided = log.filter("decision != 'capture'")
+    # the second delivery of a batch changes nothing
+    for name, batch in (("decisions", decided), ("decisions", decided), ("captures", log.filter("decision = 'capture'"))):
+        review_log.append(batch, path, ["ts", "event"], name)
+    return review_log.read(spark, path).select("id", "event", "ticker", "decision", "price")
+
+
+@query("rev_append_legacy", """WITH p AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'error' THEN -value ELSE value END AS price, CASE WHEN event_type = 'view' THEN 'breakout_peak' WHEN event_type = 'click' THEN 'structural_retest' ELSE 'major_top' END AS role FROM events),
+ g AS (SELECT user_id, min(day) || 'T00:00:00Z' AS since, bool_or(NOT coalesce(price > 0, false)) AS bad, count(*) FILTER (role != 'breakout_peak') AS anchors, count(*) AS points, '[' || string_agg('{"date":"' || day || '","price":' || coalesce(price::VARCHAR, 'null') || ',"role":"' || role || '"}', ',' ORDER BY event_id) || ']' AS said FROM p GROUP BY 1),
+ f AS (SELECT *, CASE WHEN bad THEN 'price' WHEN anchors < 2 THEN 'too_few_anchors' END AS fault FROM g)
+ SELECT 'U' || user_id AS ticker, '3M' AS "interval", since AS created_at, CASE WHEN fault IS NULL THEN 'corrected' END AS decision, points, fault, 'legacy-sha256:' || sha256('{"created_at":"' || since || '","interval":"3M","points":' || said || ',"ticker":"U' || user_id || '"}') AS event_id FROM f""")
+def _(spark, d):
+    kind = F.col("event_type")
+    point = F.struct("event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.when(kind == "error", -F.col("value")).otherwise(F.col("value")).alias("price"), F.when(kind == "view", "breakout_peak").when(kind == "click", "structural_retest").alias("role"))
+    g = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    day = F.array_min(F.transform("points", lambda p: p["date"]))
+    corrections = g.select(F.concat(F.lit(" u"), "user_id").alias("ticker"), F.lit(None).cast("string").alias("interval"), F.concat(day, F.lit("T00:00:00Z")).alias("created_at"), "points")
+    return reviews.legacy_decisions(corrections).withColumn("points", F.size("points").cast("long"))
