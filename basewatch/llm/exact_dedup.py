@@ -10,7 +10,8 @@ meets the entries of all earlier ones, also after a restart.
 
 A digest alone decides nothing: each row whose digest another row has, of this run or an earlier
 one, is read again by its locator, and its full bytes are held against those of the row that stays.
-Only such rows' texts are fetched. Rows that differ in spite of equal digests are grouped again by
+Only such rows' texts are fetched: a bitmap of rows for each stretch of a file, a bit a row, tells
+them apart while the file is read, so that no other text is shuffled. Rows that differ in spite of equal digests are grouped again by
 their whole texts. A hot group's rows are compared in salted parts, with the one row that stays
 copied to each part.
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from basewatch.llm.common import SPACE, cut, packed, scratch, unpacked
 
 PART = 512
+#: Rows of a file in one bitmap of 4 KB, the size of Spark's bitmaps, and how many bitmaps are broadcast at most.
+STRETCH, BROADCAST = 32_768, 4_096
 #: The state's store. Many small stores: no space set aside beforehand, and changes instead of whole files to the shared folder.
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -54,6 +57,22 @@ def _locator() -> Column:
     return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
 
 
+def _place() -> dict[str, Column]:
+    """Where a row stands: stretch of its file, and place in the stretch."""
+    nth = F.col("_metadata.row_index")
+    return {"_file": F.col("_metadata.file_path"), "_stretch": F.floor(nth / STRETCH), "_nth": F.pmod(nth, F.lit(STRETCH)).cast("int")}
+
+
+def picked(rows: DataFrame, locators: DataFrame, name: str) -> DataFrame:
+    """Rows, with the columns of _place(), whose locator is among locators(locator)."""
+    nth = F.substring("locator", -12, 12).cast("long")
+    places = locators.select(F.expr("left(locator, length(locator) - 13)").alias("_file"), F.floor(nth / STRETCH).alias("_stretch"), F.pmod(nth, F.lit(STRETCH)).alias("at"))
+    maps = cut(places.groupBy("_file", "_stretch").agg(F.bitmap_construct_agg("at").alias("_bits")), name)
+    maps = F.broadcast(maps) if maps.count() <= BROADCAST else maps  # beyond, Spark shuffles the rows by stretch
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_nth") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(maps, ["_file", "_stretch"]).filter(F.getbit(byte, F.pmod("_nth", F.lit(8))) == 1).drop("_file", "_stretch", "_nth", "_bits")
+
+
 def _pattern(path: str) -> str:
     """A pattern that matches just this path, file or folder: a plain path given to a stream has to be a folder."""
     path = re.sub(r"([\[\]{}*?\\])", r"\\\1", path.rstrip("/"))
@@ -105,17 +124,15 @@ def groups(spark: SparkSession, path: str, id_col="doc_id", text_col="text", dig
     kind = there.schema[id_col].dataType.simpleString()
     digested = _digested(spark, pattern, state, id_col, text_col, digest)
     entries = digest_state(spark, digested, state, kind, files_per_batch)
-    texts = there.select(normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
+    texts = there.select(normalised(F.col(text_col)).alias("text"), _locator().alias("locator"), *[c.alias(k) for k, c in _place().items()])
     narrow = spark.read.schema(f"doc_id {kind}, locator string, digest string, text_sha256 string").parquet(digested)
     rows = cut(narrow.join(entries, "digest"), "digested")
 
     # full bytes, for every row that shares its digest: fetched by locator
-    several = rows.filter("n > 1").select("doc_id", "locator", "digest", "kept", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    # written, so that Spark knows its size: while that is small no other row's text is shuffled
-    fetched = texts.join(cut(several, "shared-digests"), "locator")
-    stays = F.col("locator") == F.col("kept.locator")
-    heads = fetched.filter(stays).select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("head"))
-    hits = fetched.filter(~stays).withColumn("part", F.pmod(F.xxhash64("locator"), F.col("parts")).cast("int"))
+    several = cut(rows.filter("n > 1").select("doc_id", "locator", "digest", F.ceil(F.col("n") / PART).cast("int").alias("parts"), (F.col("locator") == F.col("kept.locator")).alias("stays")), "shared-digests")
+    fetched = lambda some, name: picked(texts, some.select("locator"), name).join(some, "locator")
+    heads = fetched(several.filter("stays"), "heads").select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("head"))
+    hits = fetched(several.filter("NOT stays"), "hits").withColumn("part", F.pmod(F.xxhash64("locator"), F.col("parts")).cast("int"))
     differ = hits.join(heads, ["digest", "part"]).filter("text != head")
     # rows that only share the digest: grouped by the text itself
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "locator")
@@ -139,11 +156,9 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", state: str |
     found = groups(spark, "", id_col, text_col, state=state, pattern=f"{state}/arrivals/*")
     is_new = F.col("locator").contains(f"/arrivals/{new}/")
     earlier = found.filter(~is_new).select(F.col("keep_locator").alias("_earlier")).distinct()
-    stay = found.filter(is_new & F.col("kept")).join(earlier, F.col("keep_locator") == F.col("_earlier"), "left_anti").select(F.col("locator").alias("_at"))
-    stay = cut(stay, "stay")  # narrow and written: while it may be broadcast, no row of docs is shuffled
+    stay = found.filter(is_new & F.col("kept")).join(earlier, F.col("keep_locator") == F.col("_earlier"), "left_anti").select("locator")
     there = spark.read.schema(docs.schema).parquet(f"{state}/arrivals/{new}")
-    rows = packed(there, _locator=_locator())
-    return unpacked(rows.join(stay, F.col("_locator") == F.col("_at"), "left_semi"))
+    return unpacked(picked(packed(there, **_place()), stay, "stay"))
 
 
 ORACLE = r"""

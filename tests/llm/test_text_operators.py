@@ -161,6 +161,32 @@ def test_exact_dedup_meets_the_state_of_earlier_runs(spark, tmp_path):
     assert got == {2: (2, 2), 3: (2, 2), 4: (4, 1)}
 
 
+def test_exact_dedup_picks_rows_by_bitmaps(spark, tmp_path, monkeypatch):
+    n, path = exact_dedup.STRETCH, f"file://{tmp_path}/p#1 %"
+    spark.range(2 * n + 50).withColumn("text", F.col("id").cast("string")).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    placed = rows.select("id", *[c.alias(k) for k, c in exact_dedup._place().items()])
+    wanted = {0, 7, 8, n - 1, n, 2 * n - 1, 2 * n, 2 * n + 49}
+    locators = rows.filter(F.col("id").isin(*wanted)).select(exact_dedup._locator().alias("locator"))
+    for most in (exact_dedup.BROADCAST, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST", most)
+        assert sorted(r.id for r in exact_dedup.picked(placed, locators, "some").collect()) == sorted(wanted)
+    assert exact_dedup.picked(placed, locators.limit(0), "none").count() == 0
+
+
+def test_exact_dedup_shuffles_shared_texts_only(spark, tmp_path):
+    # without broadcasts of Spark's own choice, the rows that stay come straight from their files
+    docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(100)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = exact_dedup.deduplicated(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(90))
+        assert "Exchange hash" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_main_text():
     page = "<html><body><header>Site</header><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>Title &amp; more</h1><p><b>One  two<br><p>three&eacute; <a href=y>four</a></article><div id='comments'><p>me too</p></div><footer>c</footer></body></html>"
     assert html_text.main_text(page) == "Title & more\nOne two\nthreeé four"
