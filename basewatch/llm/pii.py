@@ -11,8 +11,9 @@ is none in any context, is negative. Further examples have lost their base form:
 out are positive, and negative when damaged as well; phone numbers without plus or country code
 are positive after a word that announces one and negative elsewhere. Found candidates that are
 neither are what is to be decided, and aren't learnt from. The
-training set is at most `sample` different texts in expectation, chosen by a hash of the text: a text
-that many rows repeat counts once. Each kind has a threshold of its own, calibrated on a part held out
+training set is every different text of the corpus: a text that many rows repeat counts once.
+Examples alike in all features are one row with a weight, so that the trees' input stays small, and all
+of them, not a sample, give the thresholds that the trees try. Each kind has a threshold of its own, calibrated on a part held out
 from training: the smallest score from which on its examples keep `precision`. A kind with fewer than
 five held-out examples of either label takes the threshold of all kinds together; with fewer than five
 in all there is nothing to learn from.
@@ -27,6 +28,7 @@ each come out; very long texts need time in proportion to their length and their
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -57,7 +59,9 @@ _HINTS = r"(?i)(?:phone|tel|call|mobile|fax|card|visa|account|iban|ssn|e-?mail|m
 #: Whole words that announce a phone number, and what training examples are announced by, or by none of them.
 _PHONE = r"(?i)(?<![A-Za-z])(?:(?:tele)?phones?|tel|call|dial|mobile|cell|fax|contact)(?:\x20(?:me|us|at|on|is|no|number)){0,2}[^A-Za-z0-9]{0,6}$"
 _ANNOUNCED, _UNANNOUNCED = ("phone: ", "tel. ", "call ", "mobile ", "fax: ", "contact: ", "Phone number "), ("order ", "account no. ", "item: ", "hotel ", "ref. ", "card ", "and ")
-SAMPLE, PRECISION, TREES, DEPTH, SEED = 20_000, 0.98, 12, 3, 7
+PRECISION, TREES, DEPTH, SEED = 0.98, 12, 3, 7
+#: Values of a feature that the trees tell apart at least, and how many rows Spark reads whole for that number of them.
+BINS, WHOLE = 32, 10_000
 FEATURES = ("digits", "groups", "longest_group", "plus", "brackets", "dots", "dashes", "spaces", "letters", "at", "dot_after_at", "length", "hint", "edge_left", "edge_right", "first_digit", "luhn", "announced", "whole_address", "octets")
 
 
@@ -206,28 +210,31 @@ class Trees:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def train(rows: DataFrame, sample=SAMPLE, precision=PRECISION) -> Trees | None:
-    """rows(text) -> trees, or None where there is nothing to learn from. Fitted on a bounded sample of candidates."""
+def train(rows: DataFrame, precision=PRECISION) -> Trees | None:
+    """rows(text) -> trees, or None where there is nothing to learn from. Fitted on the examples of all rows."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    # a text's share of the sample follows from the number of rows, which is a count and no scan of texts
-    total = max(1, rows.count())
-    share = min(1.0, sample / total)
-    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_003)) < share * 1_000_003)
-    some = some.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    got = some.select(base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("all")).select("base", F.explode("all").alias("c"))
-    good = got.filter(is_base(F.col("c"), F.col("base"))).select("c")
+    text = F.col("text")
+    # candidates only where a base span is; the whole row in one expression, so that no step of it is done twice
+    some = lambda b: F.exists(F.array(*[F.size(b[k]) > 0 for k in KINDS]), lambda x: x)
+    good = let(base_spans(text), lambda b: F.when(some(b), F.filter(candidates(text), lambda c: is_base(c, b))))
+    got = rows.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.explode(good).alias("c"))
+    got = got.select(F.sha2(text.cast("binary"), 256).alias("of"), "c").distinct()
     held = (F.pmod(F.xxhash64("c"), F.lit(4)) == 0).alias("held")
-    got = good.select(held, F.explode(examples(F.col("c"))).alias("e")).select("held", "e.label", F.col("e.c.kind").alias("kind"), *[x.alias(n) for n, x in zip(FEATURES, features(F.col("e.c")), strict=True)])
-    got = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(got).select("label", "held", "kind", "x", *FEATURES), "candidates")
-    seen = {(r["label"], r["held"]): r["count"] for r in got.groupBy("label", "held").count().collect()}
-    if not all(seen.get((label, held), 0) >= 5 for label in (0.0, 1.0) for held in (False, True)):
+    got = got.select(held, F.explode(examples(F.col("c"))).alias("e")).select("held", "e.label", F.col("e.c.kind").alias("kind"), *[x.alias(n) for n, x in zip(FEATURES, features(F.col("e.c")), strict=True)])
+    got = got.groupBy("held", "label", "kind", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+    got = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(got).select("label", "held", "kind", "weight", "x", *FEATURES), "candidates")
+    seen = {(r["label"], r["held"]): r for r in got.groupBy("label", "held").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).collect()}
+    if not all((label, held) in seen and seen[label, held]["n"] >= 5 for label in (0.0, 1.0) for held in (False, True)):
         return None
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=32).fit(got.filter("NOT held"))
+    # Spark looks for thresholds among max(bins ** 2, WHOLE) rows: as many bins as make that all of them
+    n = sum(seen[label, False]["rows"] for label in (0.0, 1.0))
+    bins = BINS if n <= WHOLE else math.isqrt(n) + 1
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=bins).fit(got.filter("NOT held"))
     trees = Trees(model, {})
-    held = got.filter("held").select("kind", "label", F.round(trees.score([F.col(n) for n in FEATURES]), 2).alias("p"))
-    by_score = held.groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most 101 rows a kind
+    held = got.filter("held").select("kind", "label", "weight", F.round(trees.score([F.col(n) for n in FEATURES]), 2).alias("p"))
+    by_score = held.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect()  # at most 101 rows a kind
 
     def smallest(rows) -> float:
         good = n = 0
@@ -246,10 +253,10 @@ def train(rows: DataFrame, sample=SAMPLE, precision=PRECISION) -> Trees | None:
     return trees
 
 
-def find(docs: DataFrame, id_col="doc_id", text_col="text", sample=SAMPLE, precision=PRECISION) -> DataFrame:
+def find(docs: DataFrame, id_col="doc_id", text_col="text", precision=PRECISION) -> DataFrame:
     """docs -> doc_id, base (struct of arrays of spans), added (array of kind, start, end, score)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    trees = train(rows.select("text"), sample, precision)
+    trees = train(rows.select("text"), precision)
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     none = F.array().cast(_ADDED)
 

@@ -43,3 +43,13 @@ def test_a_text_that_a_third_of_all_rows_repeats_counts_once(spark, monkeypatch)
     pii.train(docs.unionByName(hot))
     pii.train(docs.unionByName(hot.limit(1)))
     assert seen and written[0].count() == written[1].count() > 0
+
+
+def test_every_text_is_learnt_from(spark, monkeypatch):
+    kept = []
+    cut = pii.cut
+    monkeypatch.setattr(pii, "cut", lambda df, name: kept.append(cut(df, name)) or kept[-1])
+    n = 25_000
+    assert pii.train(spark.range(n).select(F.concat(F.lit("mail x"), F.col("id").cast("string"), F.lit("@host.example.org")).alias("text")))
+    # an address gives four examples
+    assert kept[0].agg(F.sum("weight")).first()[0] == 4 * n
