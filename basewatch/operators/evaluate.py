@@ -108,8 +108,19 @@ def matched_dates(points: DataFrame, tolerance: int) -> DataFrame:
 
 
 
-#: Setups in a block of the bootstrap, on average.
-BLOCK = 128
+#: Setups in a block of the bootstrap, on average, and how many blocks are added up before their sums are shuffled.
+BLOCK, TOGETHER = 128, 32
+
+
+def drawn_sums(own: np.ndarray, picked: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """own: setups by values; picked: places of drawn setups, k[i] of them for replicate i -> values by replicates, the sums over the drawn.
+
+    How often a replicate draws each setup is counted once for all values. Products are of whole numbers
+    in doubles, which is exact below 2 ** 53; beyond, they are of integers."""
+    n = len(own)
+    times = np.bincount(picked + np.repeat(np.arange(len(k)) * n, k), minlength=len(k) * n).reshape(len(k), n)
+    exact = float(np.abs(own.astype("float64")).max(initial=0)) * float(k.max(initial=0)) < 2.0**53
+    return (times.astype("float64") @ own.astype("float64")).T.astype("int64") if exact else (times @ own).T
 
 
 def replicates(counts: DataFrame, values: list[str], samples: int, seed: int) -> DataFrame:
@@ -118,8 +129,9 @@ def replicates(counts: DataFrame, values: list[str], samples: int, seed: int) ->
     A replicate draws as many setups as there are, with replacement, and all values see the same draws.
     Setups are dealt into blocks by hash. How many of a replicate's draws fall to a block follows from
     binomial splits down a binary tree over the blocks, each seeded by its metric and node, so that
-    every task works out its own blocks' shares; the replicates are then added up over blocks."""
-    counts = counts.select("metric", "setup", *[F.col(v).cast("long").alias(v) for v in values])
+    every task works out its own blocks' shares; the replicates are then added up over blocks, first
+    over neighbours in the tree."""
+    counts = counts.select("metric", "setup", *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values])
     most = counts.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, most / BLOCK))))
     dealt = counts.withColumn("block", F.pmod(F.xxhash64("setup"), F.lit(1 << depth)))
@@ -131,7 +143,8 @@ def replicates(counts: DataFrame, values: list[str], samples: int, seed: int) ->
     way = way.groupBy(F.col("metric").alias("m"), F.col("block").alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "setups"))), lambda x: x["setups"]).alias("way"))
     rows = dealt.join(way, F.col("metric").eqNullSafe(F.col("m")) & (F.col("block") == F.col("b"))).select("metric", "setup", *values, "block", "way")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_sums(pdf: pd.DataFrame, seen: dict) -> np.ndarray:
+        """seen: draws of nodes that blocks share."""
         pdf = pdf.sort_values("setup")
         metric, block, way = pdf["metric"].iloc[0], int(pdf["block"].iloc[0]), [int(x) for x in pdf["way"].iloc[0]]
         name = zlib.crc32(str(metric).encode())
@@ -140,24 +153,32 @@ def replicates(counts: DataFrame, values: list[str], samples: int, seed: int) ->
         for level in range(1, depth + 1):
             # the left child's share is drawn from the parent's seed, so that both children see the same split
             node, here, above = block >> (depth - level), way[level], way[level - 1]
-            left = here if node % 2 == 0 else above - here
-            share = rng(0, level, node >> 1).binomial(drawn, left / above)
-            drawn = share if node % 2 == 0 else drawn - share
-        own, r = [pdf[v].to_numpy() for v in values], rng(1, block)
+            if (level, node) not in seen:
+                left = here if node % 2 == 0 else above - here
+                share = rng(0, level, node >> 1).binomial(drawn, left / above)
+                seen[level, node] = share if node % 2 == 0 else drawn - share
+            drawn = seen[level, node]
+        own, r = pdf[values].to_numpy(dtype="int64"), rng(1, block)
         out = np.zeros((len(values), samples), dtype="int64")
         step = max(1, 2_000_000 // max(1, len(pdf)))
         for at in range(0, samples, step):
             k = drawn[at : at + step]
-            picked, ends = r.integers(len(pdf), size=int(k.sum())), np.cumsum(k)
-            for i, v in enumerate(own):
-                sums = np.concatenate([[0], np.cumsum(v[picked])])
-                out[i, at : at + step] = sums[ends] - sums[ends - k]
-        return pd.DataFrame({"metric": metric, "replicate": np.arange(samples), **dict(zip(values, out))})
+            out[:, at : at + step] = drawn_sums(own, r.integers(len(pdf), size=int(k.sum())), k)
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, seen = np.zeros((len(values), samples), dtype="int64"), {}
+        for _, one in pdf.groupby("block"):
+            total += block_sums(one, seen)
+        return pd.DataFrame({"metric": pdf["metric"].iloc[0], "replicate": np.arange(samples), **dict(zip(values, total))})
 
     kind = counts.schema["metric"].dataType.simpleString()
     # small rows, much work: as many tasks as a shuffle has, which adaptive execution doesn't merge
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = rows.repartition(tasks, "metric", "block").groupBy("metric", "block").applyInPandas(run, f"metric {kind}, replicate long, " + ", ".join(f"{v} long" for v in values))
+    # no fewer groups than tasks
+    together = max(1, min(TOGETHER, (1 << depth) // tasks))
+    rows = rows.withColumn("part", F.floor(F.col("block") / together))
+    drawn = rows.repartition(tasks, "metric", "part").groupBy("metric", "part").applyInPandas(run, f"metric {kind}, replicate long, " + ", ".join(f"{v} long" for v in values))
     return drawn.groupBy("metric", "replicate").agg(*[F.sum(v).alias(v) for v in values])
 
 

@@ -1,7 +1,9 @@
 """Small charts with known answers."""
 
+import re
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from basewatch.functions.scalars import grade_for_slope
@@ -100,6 +102,27 @@ def test_data_quality_on_no_rows(spark):
     assert bars.data_quality(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_bootstrap_sums_equal_draw_by_draw(spark):
+    r = np.random.default_rng(1)
+    k, n = r.integers(0, 9, 50), 7
+    picked, ends = r.integers(n, size=int(k.sum())), np.cumsum(k)
+    for big in (10, 2**60):
+        own = r.integers(-big, big, (n, 3))
+        want = [[int(own[picked[e - m : e], i].sum()) for e, m in zip(ends, k, strict=True)] for i in range(3)]
+        assert evaluate.drawn_sums(own, picked, k).tolist() == want
+
+
+def test_bootstrap_shuffles_sums_of_many_blocks(spark):
+    counts = spark.range(20_000).select(F.lit("m").alias("metric"), F.col("id").alias("setup"), (F.col("id") % 3).alias("good"), F.lit(3).alias("n"))
+    drawn = evaluate.replicates(counts, ["good", "n"], 10, 0)
+    sizes = counts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    drawn = drawn.collect()
+    assert len(drawn) == 10 and all(r.n == 60_000 for r in drawn)
+    # 256 blocks in at most 4 tasks: one row of sums for 32 blocks, not for each
+    into = [p for p in re.findall(r"FlatMapGroupsInPandas \[([^\]]*)\]", evaluate.replicates(counts, ["good", "n"], 10, 0)._jdf.queryExecution().optimizedPlan().toString())]
+    assert int(sizes) <= 8 and into and all("part" in p for p in into)
+
+
 def test_bootstrap_draws_whole_replicates_in_blocks(spark):
     import inspect
 
