@@ -41,28 +41,38 @@ def best_pairs(swing_rows: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> D
     majors = separated(swing_rows, p.major_prominence_pct, p.major_separation).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "price"))).alias("majors"))
     minors = swing_rows.filter(F.col("prominence_pct") >= p.minor_prominence_pct).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "price"))).alias("minors"))
     closes = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "close"))).alias("closes"))
-    x = majors.join(minors, "symbol").join(closes, "symbol").withColumn("last", F.size("closes") - 1)
-    x = x.withColumn("one", F.explode("majors")).withColumn("two", F.explode(F.filter("majors", lambda t: t["idx"] - F.col("one.idx") >= p.anchor_span)))
-    x = x.withColumn("slope", (F.col("two.price") - F.col("one.price")) / (F.col("two.idx") - F.col("one.idx")))
+    # explode() of a filtered array keeps what was worked out as a column: filters over such columns aren't moved below it, where each would work them out again, for every close
+    one_of = lambda value, test: F.explode(F.filter(F.array(value), test))
+    x = majors.join(minors, "symbol").join(closes, "symbol").withColumn("last", F.size("closes") - 1).withColumn("one", F.explode("majors"))
+    # a symbol's majors are dealt out: few symbols would otherwise be one task
+    x = x.repartition(bars.sparkSession.sparkContext.defaultParallelism, "symbol", F.col("one.idx"))
+
+    def line(two: Column) -> Column:
+        slope = (two["price"] - F.col("one.price")) / (two["idx"] - F.col("one.idx"))
+        return F.struct(two["idx"].alias("b"), slope.alias("slope"), (F.col("one.price") + slope * (F.col("last") - F.col("one.idx"))).alias("now"))
+
+    lines = F.transform(F.filter("majors", lambda t: t["idx"] - F.col("one.idx") >= p.anchor_span), line)
+    x = x.withColumn("line", F.explode(F.filter(lines, lambda n: (n["now"] > 0) & (n["slope"] * 1200 / F.nullif(n["now"], F.lit(0.0))).between(*p.pair_slope_pct))))
+    x = x.select("symbol", "minors", "closes", "last", "one", "line.b", "line.slope", (F.col("line.slope") * 1200 / F.nullif("line.now", F.lit(0.0))).alias("slope_pct"))
     at = lambda i: F.col("one.price") + F.col("slope") * (i - F.col("one.idx"))
-    x = x.withColumn("slope_pct", F.col("slope") * 1200 / F.nullif(at(F.col("last")), F.lit(0.0))).filter((at(F.col("last")) > 0) & F.col("slope_pct").between(*p.pair_slope_pct))
     off = lambda t: (t["price"] - at(t["idx"])) / at(t["idx"])
     tol = p.touch_tolerance_pct / 100
-    x = x.withColumn("near", F.filter("minors", lambda t: (at(t["idx"]) > 0) & (F.abs(off(t)) <= tol))).withColumn("overshoots", F.size(F.filter("minors", lambda t: (at(t["idx"]) > 0) & (off(t) > tol))))
     last = lambda a: F.try_element_at(a, F.lit(-1))
     shape = "array<struct<idx:int,price:double>>"
     # the highest of a cluster stands for it, and the next one is measured from there
     cluster = lambda a, t: F.when((F.size(a) > 0) & (t["idx"] - last(a)["idx"] <= p.touch_cluster), F.when(t["price"] > last(a)["price"], F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(t))).otherwise(a)).otherwise(F.concat(a, F.array(t))).cast(shape)
-    x = x.filter(F.col("overshoots") <= p.wick_overshoots).withColumn("hits", F.aggregate(F.col("near").cast(shape), F.array().cast(shape), cluster)).filter(F.size("hits") >= p.pair_touches)
+    x = x.withColumn("overshoots", one_of(F.size(F.filter("minors", lambda t: (at(t["idx"]) > 0) & (off(t) > tol))), lambda n: n <= p.wick_overshoots))
+    x = x.withColumn("near", one_of(F.filter("minors", lambda t: (at(t["idx"]) > 0) & (F.abs(off(t)) <= tol)), lambda a: F.size(a) >= p.pair_touches))
+    x = x.withColumn("hits", one_of(F.aggregate(F.col("near").cast(shape), F.array().cast(shape), cluster), lambda a: F.size(a) >= p.pair_touches))
     x = x.withColumns({"span": last(F.col("hits"))["idx"] - F.get("hits", F.lit(0))["idx"], "quiet": F.col("last") - last(F.col("hits"))["idx"], "close_now": last(F.col("closes"))["close"]})
     x = x.filter((F.col("span") >= p.anchor_span) & ~((F.col("quiet") > p.stale_months) & (F.col("close_now") < 0.8 * at(F.col("last")))))
     over = F.filter("closes", lambda c: (c["idx"] >= F.get("hits", F.lit(0))["idx"]) & ((at(c["idx"]) <= 0) | (c["close"] > at(c["idx"]) * (1 + p.break_tolerance_pct / 100))))
-    x = x.withColumn("over", over).filter(~F.exists("over", lambda c: c["idx"] < F.col("last") - p.tolerated_tail + 1))
+    x = x.withColumn("over", one_of(over, lambda a: ~F.exists(a, lambda c: c["idx"] < F.col("last") - p.tolerated_tail + 1)))
     score = (
         0.40 * F.least(F.size("hits"), F.lit(5)) / 5 + 0.25 * F.least(F.col("span") / 120, F.lit(1.0)) + 0.20 * clamp01(1 - F.abs("slope_pct") / 15) + 0.15 * clamp01(1 - F.col("quiet") / 60)
         - 0.10 * F.col("overshoots") - 0.05 * F.size("over")
     )
-    x = x.select("symbol", F.col("one.idx").alias("a"), F.col("two.idx").alias("b"), F.size("hits").alias("touches"), "overshoots", F.size("over").alias("violations"), "slope_pct", score.alias("score"), "span")
+    x = x.select("symbol", F.col("one.idx").alias("a"), "b", F.size("hits").alias("touches"), "overshoots", F.size("over").alias("violations"), "slope_pct", score.alias("score"), "span")
     # of lines alike in all three the pair that comes first
     best = F.max_by(F.struct("a", "b", "touches", "overshoots", "violations", "slope_pct", "score"), F.struct(F.round("score", 9).alias("score"), "span", "touches", -F.col("a"), -F.col("b")))
     return x.groupBy("symbol").agg(best.alias("best")).select("symbol", "best.*")
