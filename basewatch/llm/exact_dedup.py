@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewatch.llm.common import SPACE, cut, packed, scratch, unpacked
+from basewatch.llm.common import SPACE, cut, packed, remove, scratch, unpacked
 
 PART = 512
 #: Rows of a file in one bitmap of 4 KB, the size of Spark's bitmaps, and how many bitmaps are broadcast at most.
@@ -79,11 +79,16 @@ def _pattern(path: str) -> str:
     return path if path.endswith("\\*") or path[-2:-1] == "\\" else f"{path[:-1]}[{path[-1]}]"
 
 
+def _digests(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """Rows of files -> doc_id, locator, digest, text_sha256."""
+    rows = rows.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
+    return rows.select("doc_id", "locator", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("text_sha256"))
+
+
 def _digested(spark: SparkSession, source: str, state: str, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> str:
     """Digest files that are new under the pattern source: state/digested has doc_id, locator, digest, text_sha256 of every row ever seen."""
     schema, out = spark.read.parquet(source).schema, f"{state}/digested"
-    rows = spark.readStream.schema(schema).parquet(source).select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("locator"))
-    rows = rows.select("doc_id", "locator", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("text_sha256"))
+    rows = _digests(spark.readStream.schema(schema).parquet(source), id_col, text_col, digest)
     rows.writeStream.format("parquet").option("checkpointLocation", f"{state}/digesting").trigger(availableNow=True).start(out).awaitTermination()
     return out
 
@@ -120,9 +125,13 @@ def groups(spark: SparkSession, path: str, id_col="doc_id", text_col="text", dig
 
     state: folder of an earlier call over the same path, which then only takes up what is new."""
     pattern, state = pattern or _pattern(path), state or scratch(spark, "dedup-state")
-    there = spark.read.parquet(pattern)
-    kind = there.schema[id_col].dataType.simpleString()
     digested = _digested(spark, pattern, state, id_col, text_col, digest)
+    return _grouped(spark.read.parquet(pattern), digested, state, id_col, text_col, files_per_batch)
+
+
+def _grouped(there: DataFrame, digested: str, state: str, id_col: str, text_col: str, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of files and the folder of all digests -> groups()'s rows."""
+    spark, kind = there.sparkSession, there.schema[id_col].dataType.simpleString()
     entries = digest_state(spark, digested, state, kind, files_per_batch)
     texts = there.select(normalised(F.col(text_col)).alias("text"), _locator().alias("locator"), *[c.alias(k) for k, c in _place().items()])
     narrow = spark.read.schema(f"doc_id {kind}, locator string, digest string, text_sha256 string").parquet(digested)
@@ -146,10 +155,13 @@ def groups(spark: SparkSession, path: str, id_col="doc_id", text_col="text", dig
     return out.select("locator", "doc_id", kept["doc_id"].alias("keep_id"), kept["locator"].alias("keep_locator"), size.alias("group_size"), (F.col("locator") == kept["locator"]).alias("kept"), "text_sha256")
 
 
-def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", state: str | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", state: str | None = None, in_files: bool = False) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    state: folder of earlier calls in the shared folder; rows equal to any row of an earlier call go too."""
+    state: folder of earlier calls in the shared folder; rows equal to any row of an earlier call go too.
+    in_files: docs is a plain read of files, so that they needn't be written for their rows to be found again; without state only."""
+    if in_files:
+        return _stay_in_files(docs, id_col, text_col)
     spark, state = docs.sparkSession, state or scratch(docs.sparkSession, "dedup-state")
     new = uuid.uuid4().hex
     docs.write.parquet(f"{state}/arrivals/{new}")
@@ -161,6 +173,16 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", state: str |
     return unpacked(picked(packed(there, **_place()), stay, "stay"))
 
 
+def _stay_in_files(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """deduplicated() of a plain read of files. Their digests are all that is written, and go with the state once the bitmaps are there."""
+    spark, state = docs.sparkSession, scratch(docs.sparkSession, "dedup-state")
+    _digests(docs, id_col, text_col, sha256).write.parquet(f"{state}/digested")
+    stay = _grouped(docs, f"{state}/digested", state, id_col, text_col).filter("kept").select("locator")
+    out = unpacked(picked(packed(docs, **_place()), stay, "stay"))
+    remove(spark, state)
+    return out
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256

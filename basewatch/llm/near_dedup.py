@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     # narrow and written, so that Spark knows how small it is: as long as it may be broadcast, no text is shuffled to be found
     wanted = cut(marks.select("node", "first_id", "text_key"), "wanted")
-    texts = cut(texts.join(wanted, ["first_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts, texts_path = written(texts.join(wanted, ["first_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     marks = marks.drop("first_id", "text_key")
 
     def stars(rows: DataFrame) -> DataFrame:
@@ -315,6 +315,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         if more.limit(1).count():
             labels = components(more, labels)
         tested = tested.unionByName(new)
+    remove(spark, texts_path)  # all links are found
     of_set = nodes.select("set_key", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = of_set.groupBy("label").agg(F.min("first_id").alias("component"))
     of_set = of_set.select("set_key", "label").join(names, "label").select("set_key", "component")

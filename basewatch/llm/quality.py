@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from basewatch.llm.common import WORD, cut, let, packed, unpacked
+from basewatch.llm.exact_dedup import _locator, _place, picked
 
 MIN_WORDS, STEPS = 50, 6
 #: Of the squared distance. A normal law leaves 1e-8 beyond 52; the statistics of texts of fifty words have tails about twice as long.
@@ -238,7 +239,12 @@ def quality(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
     return _judged(stats, steps).select("doc_id", *[f"c.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "d2", "kept")
 
 
-def passed(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", steps=STEPS) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+def passed(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", steps=STEPS, in_files: bool = False) -> DataFrame:
+    """The rows of docs that are kept, with all their columns.
+
+    in_files: docs is a plain read of files. Its texts then aren't written a second time: rows are picked by their places while the files are read again."""
+    if in_files:
+        rows = cut(docs.select(_locator().alias("locator"), counts(F.col(text_col)).alias("c"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), "counted")
+        return unpacked(picked(packed(docs, **_place()), _judged(rows, steps).filter("kept").select("locator"), "passed"))
     rows = cut(packed(docs, c=counts(F.col(text_col)), lang=F.col(lang_col), source=F.col(source_col)), "counted")
     return unpacked(_judged(rows, steps).filter("kept"))

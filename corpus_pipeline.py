@@ -1,7 +1,9 @@
 """From raw documents to mixed, tokenised text: each stage is one operator over all that the last one kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's
-result as Parquet in the shared folder and reads it again for the next one.
+result as Parquet in the shared folder and reads it again for the next one. So docs is always a
+plain read of files, and the first two stages pick the rows that stay from them instead of writing
+the texts once more.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from basewatch.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.passed(docs)
+    return quality.passed(docs, in_files=True)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicated(docs)
+    return exact_dedup.deduplicated(docs, in_files=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
