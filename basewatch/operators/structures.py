@@ -191,20 +191,47 @@ FAULTS = (
 _TOGETHER = {"cyclic_parents": "unknown_parent", "event_before_recognition": "events_out_of_order", "no_active_breakout": "events_out_of_order"}
 
 
-def chains(structures: DataFrame) -> DataFrame:
-    """structures(episode, nth, id, parent_id, selection) -> episode, id, cyclic, all_primary (from it up to its root), by pointer jumping.
-
-    Each round doubles the stretch that a pointer spans, so that as many rounds do as the logarithm of
-    an episode's structures; what still points somewhere then goes round in a circle. Of rows that
-    share an id the last stands for it."""
-    one = structures.groupBy("episode", "id").agg(F.max_by(F.struct("parent_id", "selection"), "nth").alias("s"))
-    at = written(one.select("episode", "id", F.col("s.parent_id").alias("up"), (F.col("s.selection") == "primary").alias("primary")), "pointers")
-    most = at.groupBy("episode").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    for _ in range(most.bit_length()):
-        above = at.select("episode", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("primary").alias("primary2"))
+def trees(structures: DataFrame) -> DataFrame:
+    """structures(episode, nth, id, parent_id, relationship, selection, recognition) -> episode, at (its place among the episode's), nth, id, recognition, stands (of rows that share an id the last stands for it), cyclic, all_primary (from it up to its root), faults.
+
+    Rows are dealt by episode once. A structure asks for its parent by a second row under the parent's
+    id, so that a window over rows of one name sees the structure, its children and whether it is
+    there. An episode's pointers are then one array of places; each round doubles the stretch that a
+    pointer spans, so that as many rounds do as the logarithm of an episode's structures. What still
+    points somewhere then goes round in a circle."""
+    asks, named, at, key = F.col("asks"), F.col("id").isNotNull(), F.col("at"), F.col("key")
+    primary = F.coalesce(F.col("selection") == "primary", F.lit(False))
+    rows = structures.filter("episode IS NOT NULL").withColumn("at", F.row_number().over(Window.partitionBy("episode").orderBy("id", "nth")))
+    rows = rows.withColumn("asks", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("key", F.when(asks, F.col("parent_id")).otherwise(F.col("id")))
+    w = Window.partitionBy("episode", "key")
+    sibling = asks & named
+    rows = rows.withColumns({"last": F.max(F.when(~asks, at)).over(w), "children": F.count_if(asks).over(w), "primaries": F.count_if(sibling & primary).over(w), "first": F.min(F.when(sibling, F.struct("nth", "at"))).over(w)})
+    own = F.struct("at", "nth", "id", "parent_id", "relationship", "recognition", "last", (F.col("children") > 0).alias("has_children"), primary.alias("primary"))
+    # no name is nobody's
+    parent = F.struct("at", F.when(key.isNotNull(), F.col("last")).alias("up"), (sibling & (F.col("primaries") != 1) & (F.col("first.at") == at)).alias("miscounted"))
+    listed = lambda test, row: F.sort_array(F.collect_list(F.when(test, row)))
+    g = rows.groupBy("episode").agg(listed(~asks, own).alias("own"), listed(asks, parent).alias("parent"), F.count_if(asks).cast("int").alias("n"))
+
+    def pointer(own: Column, parent: Column) -> Column:
+        stands = own["at"] == own["last"]
+        return F.struct(own.alias("own"), parent.alias("parent"), F.when(stands, parent["up"]).otherwise(own["last"]).alias("up"), (own["primary"] | ~stands).alias("primary"))
+
+    def doubled(all_: Column) -> Column:
+        above = lambda x: F.get(all_, x["up"] - 1)
         # an unknown parent ends the chain
-        at = written(at.join(above, ["episode", "up"], "left").select("episode", "id", F.col("up2").alias("up"), (F.col("primary") & F.coalesce("primary2", F.lit(True))).alias("primary")), "pointers")
-    return at.select("episode", "id", F.col("up").isNotNull().alias("cyclic"), F.col("primary").alias("all_primary"))
+        return F.transform(all_, lambda x: F.struct(x["own"].alias("own"), x["parent"].alias("parent"), above(x)["up"].alias("up"), (x["primary"] & F.coalesce(above(x)["primary"], F.lit(True))).alias("primary")))
+
+    chained = F.aggregate(F.sequence(F.lit(1), F.length(F.bin("n"))), F.zip_with("own", "parent", pointer), lambda all_, _: doubled(all_))
+    # explode_outer, as Spark works out what explode takes once more, to see whether there is any
+    x = g.select("episode", F.explode_outer(chained).alias("x")).select("episode", "x.own.*", F.col("x.parent.up").alias("parent_at"), "x.parent.miscounted", F.col("x.up").isNotNull().alias("cyclic"), F.col("x.primary").alias("all_primary"))
+    has_parent = F.col("parent_id").isNotNull()
+    topology = F.when(has_parent & F.col("has_children"), "parent_child").when(has_parent, "child").when(F.col("has_children"), "parent").otherwise("standalone")
+    broken = {"unknown_parent": has_parent & F.col("parent_at").isNull(), "cyclic_parents": F.col("cyclic"), "wrong_relationship": ~F.col("relationship").eqNullSafe(topology), "primary_count": F.col("miscounted")}
+    return x.select("episode", "at", "nth", "id", "recognition", (at == F.col("last")).alias("stands"), "cyclic", "all_primary", _names({f: named & test for f, test in broken.items()}).alias("faults"))
+
+
+def _names(broken: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(test, f) for f, test in broken.items()]))
 
 
 def label_faults(labels: DataFrame, structures: DataFrame, bottoms: DataFrame, events: DataFrame, phases: DataFrame) -> DataFrame:
@@ -218,32 +245,29 @@ def label_faults(labels: DataFrame, structures: DataFrame, bottoms: DataFrame, e
     out = []
     ends = F.last_day(F.make_date(F.year("cutoff"), F.quarter("cutoff") * 3, F.lit(1)))
     out += [row(labels.filter(F.month("cutoff") % 3 != 0), "open_cutoff"), row(labels.filter(F.col("decision_as_of") < ends), "early_decision"), row(labels.filter(F.col("decision_as_of") > F.to_date("labeled_at")), "late_decision")]
-    twice = lambda df: df.groupBy("episode", "id").count().filter("count > 1").select("episode").distinct()
-    out.append(row(twice(structures), "duplicate_structure"))
-    ids = structures.select("episode", "id").distinct()
-    parents = structures.select("episode", F.col("parent_id").alias("id")).filter("id IS NOT NULL").distinct()
-    known = structures.join(ids.select("episode", F.col("id").alias("parent_id"), F.lit(True).alias("there")), ["episode", "parent_id"], "left").join(parents.withColumn("has_children", F.lit(True)), ["episode", "id"], "left")
-    known = written(known.join(chains(structures), ["episode", "id"]), "structures")
-    has_parent, nth = F.col("parent_id").isNotNull(), F.col("nth")
-    out += [row(known.filter(has_parent & F.col("there").isNull()), "unknown_parent", nth), row(known.filter("cyclic"), "cyclic_parents", nth)]
-    topology = F.when(has_parent & F.col("has_children").isNotNull(), "parent_child").when(has_parent, "child").when(F.col("has_children").isNotNull(), "parent").otherwise("standalone")
-    out.append(row(known.filter(~F.col("relationship").eqNullSafe(topology)), "wrong_relationship", nth))
-    siblings = known.groupBy("episode", "parent_id").agg(F.count_if(F.coalesce(F.col("selection") == "primary", F.lit(False))).alias("primaries"), F.min("nth").alias("nth"))
-    out.append(row(siblings.filter("primaries != 1"), "primary_count", nth))
+    tree = written(trees(structures), "structures")
+    out += [row(tree.filter("NOT stands").select("episode").distinct(), "duplicate_structure"), tree.select("episode", F.explode("faults").alias("fault"), F.col("nth").cast("int").alias("nth"))]
+    ids = tree.filter("stands AND id IS NOT NULL").select("episode", "id", "recognition", "all_primary")
     coil, active = F.col("shape") == "coil", F.col("active_id").isNotNull()
-    out += [row(labels.filter(coil).join(ids, "episode", "left_anti"), "no_structure"), row(labels.filter(coil & ~active), "no_active")]
-    chosen = labels.filter(active).select("episode", F.col("active_id").alias("id")).join(known.groupBy("episode", "id").agg(F.bool_and("all_primary").alias("all_primary")), ["episode", "id"], "left")
-    out += [row(chosen.filter("all_primary IS NULL"), "unknown_active"), row(chosen.filter("NOT all_primary"), "active_not_primary")]
-    told = lambda df: df.filter("structure_id IS NOT NULL").select("episode", F.col("structure_id").alias("id"))
-    out.append(row(told(bottoms).unionByName(told(events)).unionByName(told(phases)).distinct().join(ids, ["episode", "id"], "left_anti").select("episode").distinct(), "unknown_reference"))
+    out += [row(labels.filter(coil).join(tree.filter("at = 1").select("episode"), "episode", "left_anti"), "no_structure"), row(labels.filter(coil & ~active), "no_active")]
+    # what labels, bottoms and phases name is looked up together; events look up more, and keep what they find for their windows
+    told = lambda df, fault: df.select("episode", F.col("structure_id").alias("id"), F.lit(fault).alias("unknown"))
+    asked = told(bottoms, "unknown_reference").unionByName(told(phases, "unknown_reference")).filter("id IS NOT NULL").unionByName(labels.filter(active).select("episode", F.col("active_id").alias("id"), F.lit("unknown_active").alias("unknown")))
+    asked = asked.join(ids.select("episode", "id", "all_primary"), ["episode", "id"], "left")
+    answer = F.when(F.col("all_primary").isNull(), F.col("unknown")).when(~F.col("all_primary") & (F.col("unknown") == "unknown_active"), "active_not_primary")
+    out.append(asked.select("episode", answer.alias("fault"), none.alias("nth")).filter("fault IS NOT NULL"))
     # events of one structure, or of none, are a stream in the label's order
+    nth, named = F.col("nth"), F.col("structure_id").isNotNull()
     w = Window.partitionBy("episode", "structure_id").orderBy("nth")
     fails = (F.col("kind") == "invalidation") | (F.col("kind") == "failed_breakout") | ((F.col("kind") == "retest") & F.col("retest_state").eqNullSafe(F.lit("failed")))
     sets = F.when(F.col("kind") == "breakout", True).when(fails, False)
-    e = events.withColumns({"over": F.lag(F.coalesce("resolution", "trigger")).over(w), "active": F.last(sets, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    e = e.join(structures.groupBy("episode", F.col("id").alias("structure_id")).agg(F.max_by("recognition", "nth").alias("recognition")), ["episode", "structure_id"], "left")
+    e = events.join(ids.select("episode", F.col("id").alias("structure_id"), "recognition", F.lit(True).alias("there")), ["episode", "structure_id"], "left")
+    e = e.withColumns({"over": F.lag(F.coalesce("resolution", "trigger")).over(w), "active": F.last(sets, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     needs = F.col("kind").isin("retest", "continuation", "invalidation")
-    out += [row(e.filter("trigger < over"), "events_out_of_order", nth), row(e.filter("trigger < recognition"), "event_before_recognition", nth), row(e.filter(needs & ~F.coalesce("active", F.lit(False))), "no_active_breakout", nth)]
+    broken = {"events_out_of_order": F.col("trigger") < F.col("over"), "event_before_recognition": F.col("trigger") < F.col("recognition"), "no_active_breakout": needs & ~F.coalesce("active", F.lit(False)), "unknown_reference": named & F.col("there").isNull()}
+    found = e.select("episode", "nth", F.explode(_names(broken)).alias("fault"))
+    out.append(found.select("episode", "fault", F.when(F.col("fault") == "unknown_reference", none).otherwise(nth).cast("int").alias("nth")))
+    twice = lambda df: df.groupBy("episode", "id").count().filter("count > 1").select("episode").distinct()
     out += [row(twice(df), f"duplicate_{name}") for df, name in ((bottoms, "bottom"), (events, "event"), (phases, "phase"))]
     every = out[0]
     for more in out[1:]:

@@ -146,3 +146,53 @@ def test_bottoms_are_matched_by_role(spark):
     lows = [(1, date(2020, 4, 1)), (1, date(2022, 1, 1)), (2, date(2020, 5, 1))]
     got = S.bottom_metrics(spark.createDataFrame(rows, "episode int, role string, day date"), spark.createDataFrame(lows, "episode int, day date")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "major_bottom", True, 2, 1, 1, 1), (1, "undercut", False, 1, None, None, None), (2, "major_bottom", True, 0, 0, 1, 0), (2, "outlier", False, 1, None, None, None)], key=str)
+
+
+def plain_faults(rows):
+    """The faults of one episode's structures (id, parent, relationship, selection), and whether each id's chain is primary, one by one."""
+    out, stands = set(), {x[0]: x for x in rows if x[0] is not None}
+    parents = {x[1] for x in rows if x[1] is not None}
+    primary = {}
+    for id in stands:
+        seen, up, ok = [], id, True
+        while up in stands and up not in seen:
+            seen.append(up)
+            ok &= stands[up][3] == "primary"
+            up = stands[up][1]
+        primary[id] = ok
+        if up in seen:
+            out |= {("cyclic_parents", n) for n, x in enumerate(rows) if x[0] == id}
+    groups = {}
+    for n, (id, parent, relationship, selection) in enumerate(rows):
+        if [x[0] for x in rows].count(id) > 1:
+            out.add(("duplicate_structure", 0))
+        if id is None:
+            continue
+        if parent is not None and parent not in stands:
+            out.add(("unknown_parent", n))
+        if relationship != ("parent_child" if parent is not None and id in parents else "child" if parent is not None else "parent" if id in parents else "standalone"):
+            out.add(("wrong_relationship", n))
+        groups.setdefault(parent, []).append((n, selection))
+    return out | {("primary_count", g[0][0]) for g in groups.values() if [s for _, s in g].count("primary") != 1}, primary
+
+
+def test_trees_equal_a_plain_walk(spark):
+    r = random.Random(7)
+    names = [*"abcdefgh", None]
+    trees = {e: [(r.choice(names[: r.choice((3, 6, 9))]), r.choice(names), r.choice(["standalone", "parent", "child", "parent_child", None]), r.choice(["primary", "primary", "alternate", None])) for _ in range(r.randint(1, 9))] for e in range(150)}
+    trees |= {150 + i: [(f"n{j:02}", f"n{j - 1:02}" if j else end, "child", "primary" if j != odd else "alternate") for j in range(45)] for i, (end, odd) in enumerate([(None, 99), ("n44", 99), ("nobody", 0), ("n07", 20)])}
+    active = {e: r.choice([x[0] for x in t]) for e, t in trees.items()}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    none = [spark.createDataFrame([], s) for s in (R, E, R)]
+    tree = frame([(e, n, *x, D) for e, t in trees.items() for n, x in enumerate(t)] + [(None, 0, "a", "a", "child", "primary", D)] * 2, T)
+    got = {e: set() for e in trees}
+    for row in S.label_faults(frame([label(episode=e, active=a) for e, a in active.items()], L), tree, *none).collect():
+        assert (row.fault, row.nth) not in got[row.episode]
+        got[row.episode].add((row.fault, row.nth))
+    for e, t in trees.items():
+        faults, primary = plain_faults(t)
+        if active[e] is None:
+            faults.add(("no_active", 0))
+        elif not primary[active[e]]:
+            faults.add(("active_not_primary", 0))
+        assert got[e] == faults, (e, t)
